@@ -92,14 +92,16 @@ def read_geojson_lines(spark: SparkSession, path: str, properties: Sequence[str]
     return _feature_columns(features, properties)
 
 
-def merge_geojson_pages(spark: SparkSession, path: str, properties: Sequence[str], page_size: int = 1000) -> DataFrame:
+def merge_geojson_pages(
+    spark: SparkSession, path: str, properties: Sequence[str], page_size: int = 1000, page_pattern: str = r"page[=_-]?(\d+)"
+) -> DataFrame:
     """Features of numbered page files up to and including the first page that is short, empty or not followed.
 
-    The page number is the last number in the file name.
+    The first group of ``page_pattern`` finds the page number in the path of a file.
     """
     document = T.StructType([T.StructField("features", T.ArrayType(_feature_type(properties)))])
     pages = spark.read.schema(document).option("multiLine", True).json(path).select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\D*$", 1).cast("bigint").alias("page"),
+        F.regexp_extract(F.col("_metadata.file_path"), page_pattern, 1).cast("bigint").alias("page"),
         F.coalesce("features", F.array().cast(T.ArrayType(_feature_type(properties)))).alias("features"),
     )
     sizes = pages.select("page", F.size("features").alias("n"))
