@@ -1,9 +1,10 @@
 """Cell indexes that turn spatial joins into equi-joins on a cell number.
 
 A square that covers the whole Earth is cut into cells; at level ``n`` there are ``2**n`` cells per side. An
-index keeps one row per *leaf* cell with an array of candidates for every layer. Crowded cells are cut
-further, so the arrays stay short wherever the features lie. Each place belongs to exactly one leaf, so a probe is
-a left join that neither loses nor multiplies rows.
+index keeps for each *leaf* cell of a layer an array of candidates. Crowded cells are cut further, so the
+arrays stay short wherever the features lie. Each place belongs to exactly one leaf of a layer, so a probe is a left
+join that neither loses nor multiplies rows. Every layer has its own leaves: a sparse layer needs few of them, however
+dense the others are. Layers that are small together share a table, so that one join serves them all.
 
 Two indexes exist: segments in metres for the nearest feature, and polygon edges in degrees for containment.
 """
@@ -38,11 +39,14 @@ class Grid:
     def number(self, level: int, ix: Column, iy: Column) -> Column:
         return F.lit(level << _LEVEL_BIT) + ix * (1 << _COLUMN_BIT) + iy
 
-    def number_at(self, level: int, x: Column, y: Column) -> Column:
-        """Cell number of a position, null outside the grid."""
-        inside = (x >= self.x0) & (x < self.x0 + self.side) & (y >= self.y0) & (y < self.y0 + self.side)
+    def number_at(self, level: int, x: str, y: str) -> Column:
+        """Cell number of the position in columns ``x, y``, null outside the grid."""
         size = self.size(level)
-        return F.when(inside, self.number(level, F.floor((x - self.x0) / size), F.floor((y - self.y0) / size)))
+        axis = [f"floor(({c} - {o!r}D) / {size!r}D)" for c, o in ((x, self.x0), (y, self.y0))]
+        inside = " AND ".join(f"{c} >= {o!r}D AND {c} < {o + self.side!r}D" for c, o in ((x, self.x0), (y, self.y0)))
+        return F.expr(
+            f"CASE WHEN {inside} THEN {level << _LEVEL_BIT}L + {axis[0]} * {1 << _COLUMN_BIT}L + {axis[1]} END"
+        )
 
 
 # Wide enough for every projected longitude and latitude.
@@ -52,26 +56,29 @@ DEGREE_GRID = Grid(-256.0, -256.0, 512.0)
 
 @dataclass(frozen=True)
 class CellIndex:
-    """Leaf cells with candidate arrays, one column per layer."""
+    """Leaves of one or more layers: ``cell`` and one array of candidates per layer (null where the cell is no leaf)."""
 
     leaves: DataFrame
     grid: Grid
-    layers: tuple[str, ...]
-    levels: tuple[int, ...]
+    #: layer -> levels of its leaves
+    levels: Mapping[str, tuple[int, ...]]
     n_cells: int
     n_entries: int
 
     #: upper estimates of the in-memory size of one candidate and one cell
-    ENTRY_BYTES = 96
-    CELL_BYTES = 64
+    ENTRY_BYTES = 72
+    CELL_BYTES = 96
+
+    @classmethod
+    def size(cls, cells: int, entries: int) -> int:
+        return cells * cls.CELL_BYTES + entries * cls.ENTRY_BYTES
 
-    def holds(self, layer: str) -> bool:
-        return layer in self.layers and bool(self.levels)
+    def at_level(self, level: int) -> DataFrame:
+        return self.leaves.filter(F.shiftright("cell", _LEVEL_BIT) == level)
 
     @property
     def broadcastable(self) -> bool:
-        size = self.n_entries * self.ENTRY_BYTES + self.n_cells * self.CELL_BYTES * (1 + len(self.layers))
-        return size <= BROADCAST_BYTES
+        return self.size(self.n_cells, self.n_entries) <= BROADCAST_BYTES
 
     @property
     def directory_broadcastable(self) -> bool:
@@ -84,22 +91,36 @@ def _tasks(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def _finish(flat: DataFrame, entry: str, grid: Grid, layers: Sequence[str], label: str) -> CellIndex:
-    """Collect the candidates of each leaf into one row and store the index as a table."""
-    per_layer = [F.collect_list(F.when(F.col("layer") == name, F.col(entry))).alias(name) for name in layers]
-    leaves = materialize(flat.groupBy("cell").agg(*per_layer, F.count(F.lit(1)).alias("entries")), label)
-    level = F.shiftright("cell", _LEVEL_BIT)
-    totals = leaves.groupBy(level.alias("level")).agg(
-        F.count(F.lit(1)).alias("cells"), F.sum("entries").alias("entries")
-    ).collect()  # one row per level
-    return CellIndex(
-        leaves.drop("entries"),
-        grid,
-        tuple(layers),
-        tuple(sorted(int(r["level"]) for r in totals)),
-        sum(r["cells"] for r in totals),
-        sum(r["entries"] for r in totals),
-    )
+def _finish(flat: DataFrame, weight: Column, grid: Grid, label: str) -> list[CellIndex]:
+    """Store the candidates of each leaf in one row: a shared table for the small layers, one for each large layer."""
+    level = F.shiftright("cell", _LEVEL_BIT).alias("level")
+    totals = flat.groupBy("layer", level).agg(
+        F.approx_count_distinct("cell").alias("cells"), F.sum(weight).alias("entries")
+    ).collect()  # one row per layer and level
+    sizes: dict[str, int] = {}
+    for r in totals:
+        sizes[r["layer"]] = sizes.get(r["layer"], 0) + CellIndex.size(r["cells"], r["entries"])
+    groups: list[list[str]] = [[]]
+    used = 0
+    for name in sorted(sizes, key=sizes.__getitem__):
+        # the estimate of the number of cells may be off by a few percent
+        if used + sizes[name] <= BROADCAST_BYTES * 0.8:
+            groups[0].append(name)
+            used += sizes[name]
+        else:
+            groups.append([name])
+    indexes = []
+    for group in filter(None, groups):
+        arrays = []
+        for name in group:
+            own = F.collect_list(F.when(F.col("layer") == name, F.col("candidate")))
+            arrays.append(F.when(F.size(own) > 0, own).alias(name))
+        rows = flat.filter(F.col("layer").isin(group))
+        table = materialize(rows.groupBy("cell").agg(*arrays, F.sum(weight).alias("_entries")), label)
+        exact = table.agg(F.count(F.lit(1)).alias("cells"), F.sum("_entries").alias("entries")).first()
+        levels = {n: tuple(sorted(r["level"] for r in totals if r["layer"] == n)) for n in group}
+        indexes.append(CellIndex(table.drop("_entries"), grid, levels, exact["cells"], exact["entries"]))
+    return indexes
 
 
 # ---------------------------------------------------------------------------------------------- layers
@@ -141,19 +162,20 @@ def metric_segments(shapes: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------------------------- nearest
 
-#: Levels at which the nearest index may stop. Level 4 cells are 4194 km wide, level 22 cells 16 m.
-NEAREST_LEVELS = (4, 7, 9, 11, 13, 15, 17, 19, 22)
+#: Deepest level of the nearest index; its cells are 16 m wide.
+DEEPEST = 22
+#: Level at which positions far from all features start; the whole Earth has 1024 such cells.
+FAR_LEVEL = 5
 #: Ties are decided on whole millimetres, so candidates this close are all kept.
 TIE_METRES = 0.01
 
 
-def candidate_distance(candidate: Column, px: Column, py: Column) -> Column:
-    """Distance from a point to an indexed segment in midpoint form."""
-    beyond = F.greatest(
-        F.abs(px * candidate["ux"] + py * candidate["uy"] - candidate["along"]) - candidate["half"], F.lit(0.0)
-    )
-    across = px * candidate["uy"] - py * candidate["ux"] - candidate["across"]
-    return F.sqrt(F.pow(across, F.lit(2.0)) + F.pow(beyond, F.lit(2.0)))
+def candidate_distance(candidate: str, px: str, py: str) -> str:
+    """SQL expression: distance from a point to an indexed segment in midpoint form."""
+    c = candidate
+    across = f"{px} * {c}.uy - {py} * {c}.ux - {c}.across"
+    beyond = f"greatest(abs({px} * {c}.ux + {py} * {c}.uy - {c}.along) - {c}.half, 0D)"
+    return f"sqrt(power({across}, 2D) + power({beyond}, 2D))"
 
 
 def _children(rows: DataFrame, factor: int) -> DataFrame:
@@ -169,21 +191,19 @@ def _children(rows: DataFrame, factor: int) -> DataFrame:
 
 def nearest_index(
     segments: DataFrame,
-    layers: Sequence[str],
     *,
     points: DataFrame | None = None,
-    capacity: int = 12,
+    capacity: int = 24,
     margin: float = 300_000.0,
-    levels: Sequence[int] = NEAREST_LEVELS,
-) -> CellIndex:
-    """Index of ``segments`` (``layer, id, x1, y1, x2, y2`` in metres) for nearest-feature joins.
+) -> list[CellIndex]:
+    """Indexes of ``segments`` (``layer, id, x1, y1, x2, y2`` in metres) for nearest-feature joins.
 
     A cell keeps exactly the features that can be nearest to some point in it: with ``d`` the distance
     from the cell centre and ``h`` half the cell diagonal, the nearest feature of any point in the cell
-    has ``d <= min(d) + 2h``. Cells that hold more than ``capacity`` candidates in a layer are cut further, each child
-    testing only the candidates of its parent.
+    has ``d <= min(d) + 2h``. Cells with more than ``capacity`` candidates are cut further, each child testing
+    only the candidates of its parent.
 
-    The index covers the bounding box of all layers plus ``margin`` metres. ``points`` (columns ``x, y``) names
+    The indexes cover the bounding box of all layers plus ``margin`` metres. ``points`` (columns ``x, y``) names
     positions beyond the box that must be covered too: the cells around them are refined in the same way.
     Identical geometries are merged first (lowest id wins), so stacks of copies cost one candidate.
     """
@@ -240,51 +260,66 @@ def nearest_index(
             (F.col("mx") * F.col("uy") - F.col("my") * F.col("ux")).alias("across"),
             (F.col("_len") / 2).alias("half"),
         ).alias("candidate"),
-        F.lit(0).cast("bigint").alias("ix"),
-        F.lit(0).cast("bigint").alias("iy"),
     )
+    # the box is covered by about 10 x 10 cells to start with
+    extent = max(east - west, north - south)
+    start = min(max(math.ceil(math.log2(grid.side / extent)) + 3, FAR_LEVEL), DEEPEST - 2)
+    size = grid.size(start)
+    columns = range(math.floor((west - grid.x0) / size), math.floor((east - grid.x0) / size) + 1)
+    rows = range(math.floor((south - grid.y0) / size), math.floor((north - grid.y0) / size) + 1)
+    starts = [(start, ix, iy) for ix in columns for iy in rows]
+    if extra is not None:
+        # at most 1024 cells
+        far = extra.select(grid.number_at(FAR_LEVEL, "x", "y").alias("cell")).na.drop().distinct().collect()
+        mask = (1 << _COLUMN_BIT) - 1
+        starts += [(FAR_LEVEL, (r["cell"] >> _COLUMN_BIT) & mask, r["cell"] & mask) for r in far]
+    cells = F.expr(
+        "array(" + ", ".join(f"named_struct('level', {v}, 'ix', {i}L, 'iy', {j}L)" for v, i, j in starts) + ")"
+    )
+    kids = active.repartition(tasks, "id").select("*", F.inline(cells))
     finished: list[DataFrame] = []
-    level = 0
-    for next_level in levels:
-        factor = 1 << (next_level - level)
-        size = grid.size(next_level)
-        # every row is about to be multiplied: spread the rows over all tasks first
-        spread = active.repartition(tasks, "ix", "iy", "id")
-        kids = _children(spread, factor)
-        left, low = F.col("ix") * size + grid.x0, F.col("iy") * size + grid.y0
-        in_box = (left <= east) & (left + size >= west) & (low <= north) & (low + size >= south)
-        kids = kids.withColumn("cell", grid.number(next_level, F.col("ix"), F.col("iy")))
+    for step in range(start, DEEPEST + 1, 2):
+        kids = kids.withColumn("_size", grid.side / F.pow(F.lit(2.0), F.col("level")))
+        left, low = F.col("ix") * F.col("_size") + grid.x0, F.col("iy") * F.col("_size") + grid.y0
+        kids = kids.withColumns(
+            {
+                "cell": F.col("level").cast("bigint") * (1 << _LEVEL_BIT) + F.col("ix") * (1 << _COLUMN_BIT) + F.col("iy"),
+                "_in": (left <= east) & (left + F.col("_size") >= west) & (low <= north) & (low + F.col("_size") >= south),
+                "_cx": left + F.col("_size") / 2,
+                "_cy": low + F.col("_size") / 2,
+            }
+        ).withColumn("_d", F.expr(candidate_distance("candidate", "_cx", "_cy"))).drop("_cx", "_cy")
         if extra is None:
-            kids = kids.filter(in_box)
+            kids = kids.filter("_in")
         else:
-            asked = extra.select(grid.number_at(next_level, F.col("x"), F.col("y")).alias("cell")).distinct()
-            kids = kids.join(asked.withColumn("_asked", F.lit(True)), "cell", "left").filter(
-                in_box | F.col("_asked")
-            ).drop("_asked")
-        kids = kids.withColumn("_d", candidate_distance(F.col("candidate"), left + size / 2, low + size / 2))
+            far_level = FAR_LEVEL + step - start
+            asked = extra.select(grid.number_at(far_level, "x", "y").alias("cell")).distinct()
+            beyond = kids.filter(~F.col("_in")).join(asked, "cell", "left_semi").select(*kids.columns)
+            kids = kids.filter("_in").unionByName(beyond)
         # stored, so that its true size decides how it is joined
-        closest = materialize(kids.groupBy("layer", "cell").agg(F.min("_d").alias("_min")), f"closest-{next_level}")
+        closest = materialize(kids.groupBy("layer", "cell").agg(F.min("_d").alias("_min")), f"closest-{step}")
+        diagonal = F.col("_size") * (math.sqrt(2) * (1 + 1e-9))
         kept = materialize(
             kids.join(closest, ["layer", "cell"])
-            .filter(F.col("_d") <= F.col("_min") + size * math.sqrt(2) * (1 + 1e-9) + TIE_METRES)
-            .drop("_d", "_min"),
-            f"nearest-{next_level}",
+            .filter(F.col("_d") <= F.col("_min") + diagonal + TIE_METRES)
+            .drop("_d", "_min", "_size", "_in"),
+            f"nearest-{step}",
         )
-        level = next_level
         crowded = materialize(
-            kept.groupBy("cell", "layer").count().filter(F.col("count") > capacity).select("cell").distinct(),
-            f"crowded-{next_level}",
+            kept.groupBy("layer", "cell").count().filter(F.col("count") > capacity).drop("count"), f"crowded-{step}"
         )
-        if next_level == levels[-1] or crowded.isEmpty():
+        if step + 2 > DEEPEST or crowded.isEmpty():
             finished.append(kept)
             break
-        finished.append(kept.join(crowded, "cell", "left_anti"))
-        active = kept.join(crowded, "cell", "left_semi").drop("cell")
+        finished.append(kept.join(crowded, ["layer", "cell"], "left_anti"))
+        # every row is about to be multiplied: spread the rows over all tasks first
+        active = kept.join(crowded, ["layer", "cell"], "left_semi").drop("cell").repartition(tasks, "ix", "iy", "id")
+        kids = _children(active, 4).withColumn("level", F.col("level") + 2)
 
     flat = finished[0]
     for more in finished[1:]:
         flat = flat.unionByName(more)
-    return _finish(flat, "candidate", grid, layers, "nearest-index")
+    return _finish(flat, F.lit(1), grid, "nearest-index")
 
 
 # ----------------------------------------------------------------------------------------- containment
@@ -343,9 +378,9 @@ def _merge_parity(rows: DataFrame) -> DataFrame:
 
 
 def containment_index(
-    edges: DataFrame, layers: Sequence[str], *, capacity: int = 24, levels: Sequence[int] = CONTAINMENT_LEVELS
-) -> CellIndex:
-    """Index of polygon ``edges`` (degrees) for point-in-polygon joins.
+    edges: DataFrame, *, capacity: int = 24, levels: Sequence[int] = CONTAINMENT_LEVELS
+) -> list[CellIndex]:
+    """Indexes of polygon ``edges`` (degrees) for point-in-polygon joins.
 
     Edges are selected for cells, never clipped, so the test stays exact. Cells with more than ``capacity`` edges
     are cut further.
@@ -379,15 +414,15 @@ def containment_index(
         rows = rows.withColumn("cell", grid.number(level, F.col("ix"), F.col("iy")))
         kept = materialize(_merge_parity(rows), f"containment-{level}")
         crowded = materialize(
-            kept.filter(F.col("x1").isNotNull()).groupBy("cell").count()
-            .filter(F.col("count") > capacity).select("cell"),
+            kept.filter(F.col("x1").isNotNull()).groupBy("layer", "cell").count()
+            .filter(F.col("count") > capacity).drop("count"),
             f"crowded-{level}",
         )
         if level == levels[-1] or crowded.isEmpty():
             finished.append(kept)
             break
-        finished.append(kept.join(crowded, "cell", "left_anti"))
-        rows = kept.join(crowded, "cell", "left_semi").drop("cell")
+        finished.append(kept.join(crowded, ["layer", "cell"], "left_anti"))
+        rows = kept.join(crowded, ["layer", "cell"], "left_semi").drop("cell")
 
     flat = finished[0]
     for more in finished[1:]:
@@ -397,4 +432,4 @@ def containment_index(
         (F.sum("parity") % 2).cast("int").alias("parity"), F.collect_list(edge).alias("edges")
     )
     polygons = polygons.select("cell", "layer", F.struct("id", "parity", "edges").alias("candidate"))
-    return _finish(polygons, "candidate", grid, layers, "containment-index")
+    return _finish(polygons, F.size("candidate.edges") + 1, grid, "containment-index")

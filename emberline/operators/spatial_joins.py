@@ -1,17 +1,16 @@
 """Point-in-polygon and nearest-feature joins over the cell indexes.
 
 Every probe is a chain of left joins plus expressions over the candidate arrays: one row in, one row
-out, no Python, and no shuffle of the points while the index fits a broadcast.
+out, no Python, and no shuffle of the points while the index of a layer fits a broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.functions.measures import crosses_ray, on_edge
 from emberline.operators.joins import salted_left_join
 from emberline.operators.spatial_index import CellIndex, candidate_distance
 
@@ -19,67 +18,91 @@ NO_ID = -1
 NO_DISTANCE = -1.0
 
 
-def _with_leaf(points: DataFrame, index: CellIndex, x: str, y: str) -> DataFrame:
-    """Add ``_leaf``, the number of the index cell that holds the point (null beyond the index)."""
-    found = []
-    for level in index.levels:
-        name = f"_leaf{level}"
-        cells = index.leaves.select(F.col("cell").alias(name)).filter(F.shiftright(name, 52) == level)
-        if index.directory_broadcastable:
-            cells = F.broadcast(cells)
-        points = points.join(cells, index.grid.number_at(level, F.col(x), F.col(y)) == F.col(name), "left")
-        found.append(name)
-    return points.withColumn("_leaf", F.coalesce(*[F.col(n) for n in found])).drop(*found)
-
-
-def _probe(points: DataFrame, index: CellIndex, x: str, y: str) -> DataFrame:
-    """Points with the candidate arrays of their leaf, one ``_c_<layer>`` column per layer."""
-    leaves = index.leaves.select(
-        F.col("cell").alias("_leaf"), *[F.col(name).alias(f"_c_{name}") for name in index.layers]
+def _probe(points: DataFrame, indexes: Sequence[CellIndex], layers: Sequence[str], x: str, y: str) -> DataFrame:
+    """Points with the candidate arrays of their leaf, one ``_c_<layer>`` column per layer.
+
+    A small index is broadcast level by level; nothing is shuffled. Of a large one only the list of its cells is
+    broadcast (if that fits): the point learns the number of its leaf and then meets the arrays in a shuffled join
+    that splits hot leaves.
+    """
+    columns = points.columns
+    arrays: dict[str, list[Column]] = {}
+    large: dict[str, CellIndex] = {}
+    for number, index in enumerate(indexes):
+        wanted = [n for n in layers if n in index.levels]
+        for level in sorted({v for n in wanted for v in index.levels[n]}):
+            key = f"_k{number}_{level}"
+            part = index.at_level(level)
+            values = {n: f"_c{number}_{level}_{n}" for n in wanted if level in index.levels[n]}
+            if index.broadcastable:
+                part = F.broadcast(part.select(F.col("cell").alias(key), *[F.col(n).alias(v) for n, v in values.items()]))
+            else:
+                part = part.select(F.col("cell").alias(key), *[F.col("cell").alias(v) for v in values.values()])
+                part = F.broadcast(part) if index.directory_broadcastable else part
+                large.update(dict.fromkeys(values, index))
+            points = points.join(part, index.grid.number_at(level, x, y) == F.col(key), "left")
+            for name, value in values.items():
+                arrays.setdefault(name, []).append(F.col(value))
+    if arrays:
+        points = points.select(*columns, *[F.coalesce(*found).alias(f"_c_{n}") for n, found in arrays.items()])
+    for name, index in large.items():
+        leaves = index.leaves.select(F.col("cell").alias(f"_c_{name}"), F.col(name).alias("_array"))
+        if points.isStreaming:
+            points = points.join(leaves, f"_c_{name}", "left")
+        else:
+            points = salted_left_join(points, leaves, [f"_c_{name}"])
+        points = points.drop(f"_c_{name}").withColumnRenamed("_array", f"_c_{name}")
+    return points
+
+
+def _held(indexes: Sequence[CellIndex]) -> set[str]:
+    return {name for index in indexes for name in index.levels}
+
+
+def _containing(layer: str, px: str, py: str) -> Column:
+    """Lowest id of the polygons in ``_c_<layer>`` that hold the point: on an edge, or an odd number of crossings.
+
+    The ray runs to +x. The test is half-open in y, so a vertex counts once.
+    """
+    on_edge = (
+        f"(e.x2 - e.x1) * ({py} - e.y1) - (e.y2 - e.y1) * ({px} - e.x1) = 0D"
+        f" AND {px} BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2)"
+        f" AND {py} BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2)"
     )
-    if index.broadcastable:
-        # small enough to skip the directory: join the arrays of each level directly
-        columns = points.columns
-        for level in index.levels:
-            part = leaves.filter(F.shiftright("_leaf", 52) == level).select(
-                F.col("_leaf").alias(f"_k{level}"), *[F.col(f"_c_{n}").alias(f"_c{level}_{n}") for n in index.layers]
-            )
-            key = index.grid.number_at(level, F.col(x), F.col(y))
-            points = points.join(F.broadcast(part), key == F.col(f"_k{level}"), "left")
-        merged = [F.coalesce(*[F.col(f"_c{v}_{n}") for v in index.levels]).alias(f"_c_{n}") for n in index.layers]
-        return points.select(*columns, *merged)
-    placed = _with_leaf(points, index, x, y)
-    if placed.isStreaming:
-        return placed.join(leaves, "_leaf", "left").drop("_leaf")
-    return salted_left_join(placed, leaves, ["_leaf"]).drop("_leaf")
-
-
-def _contains(polygon: Column, px: Column, py: Column) -> Column:
-    edges = polygon["edges"]
-    touched = F.exists(edges, lambda e: on_edge(e["x1"], e["y1"], e["x2"], e["y2"], px, py))
-    crossed = F.filter(edges, lambda e: crosses_ray(e["x1"], e["y1"], e["x2"], e["y2"], px, py))
-    return touched | ((polygon["parity"] + F.size(crossed)) % 2 == 1)
-
-
-def within(points: DataFrame, index: CellIndex | None, x: str, y: str, out: Mapping[str, str]) -> DataFrame:
+    crossed = (
+        f"(e.y1 > {py}) <> (e.y2 > {py})"
+        f" AND {px} < (e.x2 - e.x1) * ({py} - e.y1) / nullif(e.y2 - e.y1, 0D) + e.x1"
+    )
+    inside = (
+        f"exists(p.edges, e -> {on_edge}) OR (p.parity + size(filter(p.edges, e -> {crossed}))) % 2 = 1"
+    )
+    return F.expr(f"array_min(transform(filter(_c_{layer}, p -> {inside}), p -> p.id))")
+
+
+def _closest(layer: str, px: str, py: str) -> Column:
+    """Struct of distance in millimetres and id of the nearest candidate in ``_c_<layer>``."""
+    millimetres = f"floor({candidate_distance('c', px, py)} * 1000D + 0.5D)"
+    return F.expr(f"array_min(transform(_c_{layer}, c -> named_struct('mm', {millimetres}, 'id', c.id)))")
+
+
+def within(
+    points: DataFrame, indexes: Sequence[CellIndex], x: str, y: str, out: Mapping[str, str]
+) -> DataFrame:
     """Add the id of the polygon that holds the point, per layer (``out``: layer -> column), or -1.
 
     The border counts as inside. Where polygons overlap the lowest id wins.
     """
-    px, py = F.col(x), F.col(y)
-    located = _probe(points, index, x, y) if index and index.levels else points
+    held = _held(indexes)
+    located = _probe(points, indexes, list(out), x, y)
     found = {}
     for layer, column in out.items():
-        lowest = F.lit(None).cast("bigint")
-        if index is not None and index.holds(layer):
-            inside = F.filter(f"_c_{layer}", lambda p: _contains(p, px, py))
-            lowest = F.array_min(F.transform(inside, lambda p: p["id"]))
+        lowest = _containing(layer, x, y) if layer in held else F.lit(None)
         found[column] = F.coalesce(lowest, F.lit(NO_ID).cast("bigint"))
     return located.select(*points.columns, *[c.alias(n) for n, c in found.items()])
 
 
 def nearest(
-    points: DataFrame, index: CellIndex | None, x: str, y: str, out: Mapping[str, tuple[str, str]]
+    points: DataFrame, indexes: Sequence[CellIndex], x: str, y: str, out: Mapping[str, tuple[str, str]]
 ) -> DataFrame:
     """Add the nearest feature per layer (``out``: layer -> id column and distance column in km).
 
@@ -87,15 +110,9 @@ def nearest(
     the result is rounded to 2 decimals. Points that are null, NaN or outside the index, and layers without
     features, give ``-1`` and ``-1.0``.
     """
-    px, py = F.col(x), F.col(y)
-
-    def measure(c: Column) -> Column:
-        metres = candidate_distance(c, px, py)
-        return F.struct(F.floor(metres * 1000.0 + 0.5).alias("mm"), c["id"].alias("id"))
-
-    located = _probe(points, index, x, y) if index and index.levels else points
-    held = [layer for layer in out if index is not None and index.holds(layer)]
-    best = [F.array_min(F.transform(f"_c_{layer}", measure)).alias(f"_n_{layer}") for layer in held]
+    held = [layer for layer in out if layer in _held(indexes)]
+    located = _probe(points, indexes, held, x, y)
+    best = [_closest(layer, x, y).alias(f"_n_{layer}") for layer in held]
     located = located.select(*points.columns, *best)
     found = []
     for layer, (id_column, km_column) in out.items():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -42,10 +42,10 @@ _NUMERIC = ("double", "float", "int", "bigint")
 
 @dataclass(frozen=True)
 class SpatialContext:
-    """The two cell indexes the enrichment needs; built once and reused by every run."""
+    """The cell indexes of the layers; built once and reused by every run."""
 
-    areas: CellIndex | None
-    distances: CellIndex | None
+    areas: Sequence[CellIndex]
+    distances: Sequence[CellIndex]
 
 
 def projected_points(hotspots: DataFrame) -> DataFrame:
@@ -64,10 +64,10 @@ def build_context(layers: Mapping[str, DataFrame | None], hotspots: DataFrame |
     areas = layer_shapes({n: (layers.get(n), key) for n, (key, _) in AREA_LAYERS.items()})
     infrastructure = layer_shapes({n: (layers.get(n), key) for n, (key, *_) in DISTANCE_LAYERS.items()})
     points = projected_points(hotspots) if hotspots is not None else None
-    inside = containment_index(polygon_edges(areas), tuple(AREA_LAYERS)) if areas is not None else None
-    distances = None
+    inside = containment_index(polygon_edges(areas)) if areas is not None else []
+    distances: Sequence[CellIndex] = []
     if infrastructure is not None:
-        distances = nearest_index(metric_segments(infrastructure), tuple(DISTANCE_LAYERS), points=points, **options)
+        distances = nearest_index(metric_segments(infrastructure), points=points, **options)
     return SpatialContext(inside, distances)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest relation (in bytes) that the library will ask Spark to broadcast.
-BROADCAST_BYTES = 128 * 1024 * 1024
+BROADCAST_BYTES = 256 * 1024 * 1024
 
 SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
