@@ -22,7 +22,7 @@ from emberline.functions.geometry import PARTS_TYPE, explode_segments, parts_fro
 from emberline.functions.projections import polyconic_xy
 from emberline.session import BROADCAST_BYTES, materialize
 
-_LEVEL_BIT, _COLUMN_BIT = 52, 26
+_LEVEL_BIT, _COLUMN_BIT, _SLOT_BIT = 52, 26, 57
 
 
 @dataclass(frozen=True)
@@ -113,7 +113,8 @@ def _finish(flat: DataFrame, weight: Column, grid: Grid, label: str) -> list[Cel
     for group in filter(None, groups):
         arrays = []
         for name in group:
-            own = F.collect_list(F.when(F.col("layer") == name, F.col("candidate")))
+            # by id, the first field
+            own = F.sort_array(F.collect_list(F.when(F.col("layer") == name, F.col("candidate"))))
             arrays.append(F.when(F.size(own) > 0, own).alias(name))
         rows = flat.filter(F.col("layer").isin(group))
         table = materialize(rows.groupBy("cell").agg(*arrays, F.sum(weight).alias("_entries")), label)
@@ -175,7 +176,11 @@ def candidate_distance(candidate: str, px: str, py: str) -> str:
     c = candidate
     across = f"{px} * {c}.uy - {py} * {c}.ux - {c}.across"
     beyond = f"greatest(abs({px} * {c}.ux + {py} * {c}.uy - {c}.along) - {c}.half, 0D)"
-    return f"sqrt(power({across}, 2D) + power({beyond}, 2D))"
+    return f"hypot({across}, {beyond})"
+
+
+def _cells(places: Sequence[tuple[int, int]]) -> Column:
+    return F.expr("array(" + ", ".join(f"named_struct('ix', {i}L, 'iy', {j}L)" for i, j in places) + ")")
 
 
 def _children(rows: DataFrame, factor: int) -> DataFrame:
@@ -212,18 +217,16 @@ def nearest_index(
     ends = F.array_sort(
         F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
     )
-    clean = segments.filter(
-        ~(F.isnan("x1") | F.isnan("y1") | F.isnan("x2") | F.isnan("y2"))
-    ).na.drop("any").withColumn("_e", ends)
     unique = (
-        clean.select(
+        segments.withColumn("_e", ends).select(
             "layer", "id", F.col("_e")[0]["x"].alias("x1"), F.col("_e")[0]["y"].alias("y1"),
             F.col("_e")[1]["x"].alias("x2"), F.col("_e")[1]["y"].alias("y2"),
         )
         .groupBy("layer", "x1", "y1", "x2", "y2")
         .agg(F.min("id").alias("id"))
     )
-    active = materialize(unique, "segments")
+    # also drops NaN; checked on the stored rows, where the coordinates are no longer long expressions
+    active = materialize(unique, "segments").na.drop("any")
     box = active.agg(
         F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")),
         F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2")),
@@ -234,12 +237,20 @@ def nearest_index(
 
     extra = None
     if points is not None:
-        beyond = ~(F.col("x").between(west, east) & F.col("y").between(south, north))
-        extra = points.select("x", "y").filter(beyond & ~F.isnan("x") & ~F.isnan("y")).distinct()
+        # each coordinate is named once: it is a long expression, and filters do not share common parts
+        beyond = F.greatest(
+            F.abs(F.col("x") - (west + east) / 2) - (east - west) / 2,
+            F.abs(F.col("y") - (south + north) / 2) - (north - south) / 2,
+        )
+        extra = points.select("x", "y").filter(F.nanvl(beyond, F.lit(-1.0)) > 0).distinct()
         extra = materialize(extra, "outliers")
         if extra.isEmpty():
             extra = None
 
+    # one number names layer and cell: the slot of the layer stands above the bits of the cell
+    names = sorted(r["layer"] for r in active.select("layer").distinct().collect())  # one row per layer
+    slots = F.create_map(*[F.lit(v) for n, name in enumerate(names) for v in (name, n)]) if names else F.lit(None)
+
     # midpoint form: the position along and across a segment then costs one rotation per test
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     active = active.withColumn("_len", F.sqrt(dx * dx + dy * dy))
@@ -252,8 +263,7 @@ def nearest_index(
             "my": (F.col("y1") + F.col("y2")) / 2,
         }
     ).select(
-        "layer",
-        "id",
+        (F.try_element_at(slots, F.col("layer")) if names else F.lit(0)).cast("bigint").alias("slot"),
         F.struct(
             "id", "ux", "uy",
             (F.col("mx") * F.col("ux") + F.col("my") * F.col("uy")).alias("along"),
@@ -262,63 +272,74 @@ def nearest_index(
         ).alias("candidate"),
     )
     # the box is covered by about 10 x 10 cells to start with
-    extent = max(east - west, north - south)
+    extent = max(east - west, north - south, 1.0)
     start = min(max(math.ceil(math.log2(grid.side / extent)) + 3, FAR_LEVEL), DEEPEST - 2)
     size = grid.size(start)
     columns = range(math.floor((west - grid.x0) / size), math.floor((east - grid.x0) / size) + 1)
     rows = range(math.floor((south - grid.y0) / size), math.floor((north - grid.y0) / size) + 1)
-    starts = [(start, ix, iy) for ix in columns for iy in rows]
+    box_cells = [(ix, iy) for ix in columns for iy in rows]
+    active = active.repartition(tasks, "candidate.id")
+    kids = active.select("*", F.lit(False).alias("far"), F.inline(_cells(box_cells)))
     if extra is not None:
         # at most 1024 cells
-        far = extra.select(grid.number_at(FAR_LEVEL, "x", "y").alias("cell")).na.drop().distinct().collect()
+        found = extra.select(grid.number_at(FAR_LEVEL, "x", "y").alias("cell")).na.drop().distinct().collect()
         mask = (1 << _COLUMN_BIT) - 1
-        starts += [(FAR_LEVEL, (r["cell"] >> _COLUMN_BIT) & mask, r["cell"] & mask) for r in far]
-    cells = F.expr(
-        "array(" + ", ".join(f"named_struct('level', {v}, 'ix', {i}L, 'iy', {j}L)" for v, i, j in starts) + ")"
-    )
-    kids = active.repartition(tasks, "id").select("*", F.inline(cells))
+        far_cells = [((r["cell"] >> _COLUMN_BIT) & mask, r["cell"] & mask) for r in found]
+        kids = kids.unionByName(
+            active.select("*", F.lit(True).alias("far"), F.inline(_cells(far_cells)))
+        )
     finished: list[DataFrame] = []
     for step in range(start, DEEPEST + 1, 2):
-        kids = kids.withColumn("_size", grid.side / F.pow(F.lit(2.0), F.col("level")))
-        left, low = F.col("ix") * F.col("_size") + grid.x0, F.col("iy") * F.col("_size") + grid.y0
-        kids = kids.withColumns(
-            {
-                "cell": F.col("level").cast("bigint") * (1 << _LEVEL_BIT) + F.col("ix") * (1 << _COLUMN_BIT) + F.col("iy"),
-                "_in": (left <= east) & (left + F.col("_size") >= west) & (low <= north) & (low + F.col("_size") >= south),
-                "_cx": left + F.col("_size") / 2,
-                "_cy": low + F.col("_size") / 2,
-            }
-        ).withColumn("_d", F.expr(candidate_distance("candidate", "_cx", "_cy"))).drop("_cx", "_cy")
-        if extra is None:
-            kids = kids.filter("_in")
-        else:
-            far_level = FAR_LEVEL + step - start
-            asked = extra.select(grid.number_at(far_level, "x", "y").alias("cell")).distinct()
-            beyond = kids.filter(~F.col("_in")).join(asked, "cell", "left_semi").select(*kids.columns)
-            kids = kids.filter("_in").unionByName(beyond)
+        branches = []
+        for far, level in ((False, step), (True, FAR_LEVEL + step - start)):
+            if far and extra is None:
+                continue
+            size = grid.size(level)
+            left, low = F.col("ix") * size + grid.x0, F.col("iy") * size + grid.y0
+            branch = kids.filter(F.col("far") == far).withColumn("cell", grid.number(level, F.col("ix"), F.col("iy")))
+            if far:
+                asked = extra.select(grid.number_at(level, "x", "y").alias("cell")).distinct()
+                branch = branch.join(asked, "cell", "left_semi")
+            else:
+                branch = branch.filter((left <= east) & (left + size >= west) & (low <= north) & (low + size >= south))
+            measured = branch.withColumns({"_cx": left + size / 2, "_cy": low + size / 2}).withColumn(
+                "_d", F.expr(candidate_distance("candidate", "_cx", "_cy"))
+            )
+            branches.append(
+                measured.select(
+                    "candidate", "far", "ix", "iy", "_d",
+                    F.lit(size * math.sqrt(2) * (1 + 1e-9) + TIE_METRES).alias("_reach"),
+                    (F.col("slot") * (1 << _SLOT_BIT) + F.col("cell")).alias("place"),
+                )
+            )
+        kids = branches[0] if len(branches) == 1 else branches[0].unionByName(branches[1])
         # stored, so that its true size decides how it is joined
-        closest = materialize(kids.groupBy("layer", "cell").agg(F.min("_d").alias("_min")), f"closest-{step}")
-        diagonal = F.col("_size") * (math.sqrt(2) * (1 + 1e-9))
+        closest = materialize(kids.groupBy("place").agg(F.min("_d").alias("_min")), f"closest-{step}")
         kept = materialize(
-            kids.join(closest, ["layer", "cell"])
-            .filter(F.col("_d") <= F.col("_min") + diagonal + TIE_METRES)
-            .drop("_d", "_min", "_size", "_in"),
+            kids.join(closest, "place").filter(F.col("_d") <= F.col("_min") + F.col("_reach")).drop("_d", "_min", "_reach"),
             f"nearest-{step}",
         )
         crowded = materialize(
-            kept.groupBy("layer", "cell").count().filter(F.col("count") > capacity).drop("count"), f"crowded-{step}"
+            kept.groupBy("place").count().filter(F.col("count") > capacity).drop("count"), f"crowded-{step}"
         )
         if step + 2 > DEEPEST or crowded.isEmpty():
             finished.append(kept)
             break
-        finished.append(kept.join(crowded, ["layer", "cell"], "left_anti"))
+        finished.append(kept.join(crowded, "place", "left_anti"))
         # every row is about to be multiplied: spread the rows over all tasks first
-        active = kept.join(crowded, ["layer", "cell"], "left_semi").drop("cell").repartition(tasks, "ix", "iy", "id")
-        kids = _children(active, 4).withColumn("level", F.col("level") + 2)
+        active = kept.join(crowded, "place", "left_semi").select(
+            "candidate", "far", "ix", "iy", F.shiftright("place", _SLOT_BIT).alias("slot")
+        )
+        kids = _children(active.repartition(tasks, "ix", "iy", "candidate.id"), 4)
 
     flat = finished[0]
     for more in finished[1:]:
         flat = flat.unionByName(more)
+    flat = flat.select(
+        F.get(F.array(*[F.lit(n) for n in names or [""]]), F.shiftright("place", _SLOT_BIT).cast("int")).alias("layer"),
+        F.col("place").bitwiseAND(F.lit((1 << _SLOT_BIT) - 1)).alias("cell"),
+        "candidate",
+    )
     return _finish(flat, F.lit(1), grid, "nearest-index")
 
 
@@ -427,7 +448,10 @@ def containment_index(
     flat = finished[0]
     for more in finished[1:]:
         flat = flat.unionByName(more)
-    edge = F.when(F.col("x1").isNotNull(), F.struct("x1", "y1", "x2", "y2"))
+    edge = F.when(
+        F.col("x1").isNotNull(),
+        F.struct("x1", "y1", "x2", "y2", F.least("y1", "y2").alias("low"), F.greatest("y1", "y2").alias("high")),
+    )
     polygons = flat.groupBy("cell", "layer", "id").agg(
         (F.sum("parity") % 2).cast("int").alias("parity"), F.collect_list(edge).alias("edges")
     )

@@ -17,6 +17,11 @@ from emberline.operators.spatial_index import CellIndex, candidate_distance
 NO_ID = -1
 NO_DISTANCE = -1.0
 
+#: Weight of an edge that the point lies on; no polygon has as many edges in a cell.
+_TOUCH = 1 << 30
+#: Bits for the place of a candidate in its array; millimetres on Earth need 36 bits.
+_PLACE_BITS = 26
+
 
 def _probe(points: DataFrame, indexes: Sequence[CellIndex], layers: Sequence[str], x: str, y: str) -> DataFrame:
     """Points with the candidate arrays of their leaf, one ``_c_<layer>`` column per layer.
@@ -67,22 +72,25 @@ def _containing(layer: str, px: str, py: str) -> Column:
     on_edge = (
         f"(e.x2 - e.x1) * ({py} - e.y1) - (e.y2 - e.y1) * ({px} - e.x1) = 0D"
         f" AND {px} BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2)"
-        f" AND {py} BETWEEN least(e.y1, e.y2) AND greatest(e.y1, e.y2)"
-    )
-    crossed = (
-        f"(e.y1 > {py}) <> (e.y2 > {py})"
-        f" AND {px} < (e.x2 - e.x1) * ({py} - e.y1) / nullif(e.y2 - e.y1, 0D) + e.x1"
     )
-    inside = (
-        f"exists(p.edges, e -> {on_edge}) OR (p.parity + size(filter(p.edges, e -> {crossed}))) % 2 = 1"
+    crossed = f"{py} < e.high AND {px} < (e.x2 - e.x1) * ({py} - e.y1) / nullif(e.y2 - e.y1, 0D) + e.x1"
+    # most edges end at the first test
+    weight = (
+        f"CASE WHEN {py} < e.low OR {py} > e.high THEN 0 WHEN {on_edge} THEN {_TOUCH} WHEN {crossed} THEN 1 ELSE 0 END"
     )
-    return F.expr(f"array_min(transform(filter(_c_{layer}, p -> {inside}), p -> p.id))")
+    total = f"aggregate(p.edges, p.parity, (n, e) -> n + {weight})"
+    inside = f"CASE WHEN size(p.edges) = 0 THEN p.parity ELSE {total} END"
+    found = f"transform(_c_{layer}, p -> named_struct('id', p.id, 'n', {inside}))"
+    return F.expr(f"array_min(transform(filter({found}, f -> f.n >= {_TOUCH} OR f.n % 2 = 1), f -> f.id))")
 
 
 def _closest(layer: str, px: str, py: str) -> Column:
-    """Struct of distance in millimetres and id of the nearest candidate in ``_c_<layer>``."""
+    """Distance in millimetres and place in ``_c_<layer>`` of the nearest candidate, packed into one number.
+
+    The candidates are in the order of their ids, so the smallest number is the nearest with the lowest id.
+    """
     millimetres = f"floor({candidate_distance('c', px, py)} * 1000D + 0.5D)"
-    return F.expr(f"array_min(transform(_c_{layer}, c -> named_struct('mm', {millimetres}, 'id', c.id)))")
+    return F.expr(f"array_min(transform(_c_{layer}, (c, i) -> {millimetres} * {1 << _PLACE_BITS}L + i))")
 
 
 def within(
@@ -113,13 +121,13 @@ def nearest(
     held = [layer for layer in out if layer in _held(indexes)]
     located = _probe(points, indexes, held, x, y)
     best = [_closest(layer, x, y).alias(f"_n_{layer}") for layer in held]
-    located = located.select(*points.columns, *best)
+    located = located.select(*points.columns, *[f"_c_{layer}" for layer in held], *best)
     found = []
     for layer, (id_column, km_column) in out.items():
         number, km = F.lit(None).cast("bigint"), F.lit(None).cast("double")
         if layer in held:
-            number = F.col(f"_n_{layer}.id")
-            km = F.floor((F.col(f"_n_{layer}.mm") + 5000) / 10000) / 100.0
+            number = F.expr(f"get(_c_{layer}, CAST(_n_{layer} & {(1 << _PLACE_BITS) - 1}L AS INT)).id")
+            km = F.floor((F.shiftright(f"_n_{layer}", _PLACE_BITS) + 5000) / 10000) / 100.0
         found.append(F.coalesce(number, F.lit(NO_ID).cast("bigint")).alias(id_column))
         found.append(F.coalesce(km, F.lit(NO_DISTANCE)).alias(km_column))
     return located.select(*points.columns, *found)

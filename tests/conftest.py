@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
         "tests", "local[8]",
         **{
             "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8",
-            "spark.driver.memory": "6g", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
+            "spark.driver.memory": "6g", "spark.sql.maxMetadataStringLength": "5000", "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
     )
     session.sparkContext.setLogLevel("ERROR")
