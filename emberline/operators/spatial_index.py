@@ -163,8 +163,8 @@ def metric_segments(shapes: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------------------------- nearest
 
-#: Deepest level of the nearest index; its cells are 16 m wide.
-DEEPEST = 22
+#: Deepest level of the nearest index; its cells are 1 m wide.
+DEEPEST = 26
 #: Level at which positions far from all features start; the whole Earth has 1024 such cells.
 FAR_LEVEL = 5
 #: Ties are decided on whole millimetres, so candidates this close are all kept.
@@ -344,58 +344,73 @@ def nearest_index(
 
 
 # ----------------------------------------------------------------------------------------- containment
+#
+# A point is inside a polygon if the ray from it to +x crosses an odd number of edges. Only the edges of its own cell
+# are needed for that: walk from the point along the ray to the right border of the cell, then down the border to the
+# cell's lower right corner, and flip the known answer for that corner at every edge on the way. Edges are compared
+# with half-open rules (greater / not greater), and an edge that passes close to the bend of the walk is judged
+# once for both legs, so rounding cannot make the two legs disagree.
 
 #: First level of the containment index (1 degree cells) and the levels it may be refined to.
-CONTAINMENT_LEVELS = (9, 11, 13, 15, 17)
+CONTAINMENT_LEVELS = tuple(range(9, 26, 2))
 #: Rounding slack in degrees when edges are assigned to cells.
 SLACK = 1e-9
 
+_EDGE = ("x1", "y1", "x2", "y2")
+
 
 def polygon_edges(shapes: DataFrame) -> DataFrame:
-    """Edges of polygon ``shapes`` with the bounding box of their polygon."""
-    rows = shapes.withColumn("_v", F.flatten(F.flatten("parts"))).select(
-        "layer", "id", "parts",
-        F.array_min("_v.x").alias("west"), F.array_max("_v.x").alias("east"),
-        F.array_min("_v.y").alias("south"), F.array_max("_v.y").alias("north"),
+    """Edges of polygon ``shapes`` with the westernmost longitude of their polygon.
+
+    Of polygons with the same geometry in a layer only the one with the lowest id is kept: it wins anyway.
+    """
+    unique = shapes.groupBy("layer", "parts").agg(F.min("id").alias("id"))
+    rows = unique.select(
+        "layer", "id", "parts", F.array_min(F.flatten(F.flatten("parts"))["x"]).alias("west")
     )
-    return explode_segments(rows, "parts", "layer", "id", "west", "east", "south", "north").drop("part", "ring")
+    return explode_segments(rows, "parts", "layer", "id", "west").drop("part", "ring")
 
 
-def _cut(rows: DataFrame, left: Column, low: Column, size: float) -> DataFrame:
-    """Keep what matters for rays to +x that start in the cell ``ix, iy``.
+def ray_meets(e: str, x: str, y: str) -> str:
+    """SQL condition: the edge straddles the height ``y`` and lies right of ``x`` there."""
+    at = f"({e}x2 - {e}x1) * ({y} - {e}y1) / nullif({e}y2 - {e}y1, 0D) + {e}x1"
+    return f"(({e}y1 > {y}) <> ({e}y2 > {y}) AND {x} < {at})"
 
-    Edges above, below or left of the cell never matter. An edge right of the cell that passes through the
-    whole height of the cell is crossed by every ray: it only flips the parity. The others stay as edges.
+
+def border_above(e: str, right: str, y: str) -> str:
+    """SQL condition for an edge that crosses the line ``x = right``: it does so above the height ``y``.
+
+    Where the edge straddles the height too, the answer follows from ``ray_meets`` and the slope.
     """
-    low_y, high_y = F.least("y1", "y2"), F.greatest("y1", "y2")
-    low_x, high_x = F.least("x1", "x2"), F.greatest("x1", "x2")
-    right, top = left + size, low + size
-    is_edge = F.col("x1").isNotNull()
-    in_polygon_box = (
-        (F.col("west") <= right + SLACK) & (F.col("east") >= left - SLACK)
-        & (F.col("south") <= top + SLACK) & (F.col("north") >= low - SLACK)
-    )
-    relevant = ~is_edge | ((low_y <= top + SLACK) & (high_y >= low - SLACK) & (high_x >= left - SLACK))
-    always = is_edge & (low_x > right + SLACK) & (low_y < low - SLACK) & (high_y > top + SLACK)
-    rows = rows.filter(in_polygon_box & relevant).withColumn("_always", always)
-    rows = rows.withColumn("parity", F.when(F.col("_always"), 1).otherwise(F.col("parity")).cast("int"))
-    for name in ("x1", "y1", "x2", "y2"):
-        rows = rows.withColumn(name, F.when(~F.col("_always"), F.col(name)))
-    return rows.drop("_always")
-
-
-def _merge_parity(rows: DataFrame) -> DataFrame:
-    """One parity row per cell and polygon, dropped if even; edge rows pass through."""
-    keys = ["layer", "id", "west", "east", "south", "north", "ix", "iy", "cell"]
-    nothing = F.lit(None).cast("double")
-    odd = (
-        rows.filter(F.col("x1").isNull())
-        .groupBy(*keys)
+    rising = f"(({e}x2 > {e}x1) = ({e}y2 > {e}y1))"
+    return f"(CASE WHEN ({e}y1 > {y}) <> ({e}y2 > {y}) THEN {ray_meets(e, right, y)} <> {rising} ELSE {e}y1 > {y} END)"
+
+
+def walk_flips(e: str, px: str, py: str, right: str, crosses: str, corner_below: str) -> str:
+    """SQL expression 0, 1 or 2: how often the walk from the point to the corner meets the edge.
+
+    ``crosses`` tells whether the edge crosses the line of the right border, ``corner_below`` whether it does so above the
+    corner.
+    """
+    along = f"({ray_meets(e, px, py)} AND NOT {ray_meets(e, right, py)})"
+    down = f"({crosses} AND {border_above(e, right, py)} <> {corner_below})"
+    return f"(CAST({along} AS INT) + CAST({down} AS INT))"
+
+
+def _corner_parity(rows: DataFrame) -> DataFrame:
+    """One row per cell and polygon whose lower right corner is inside."""
+    return (
+        rows.groupBy("layer", "id", "ix", "iy")
         .agg((F.sum("parity") % 2).cast("int").alias("parity"))
         .filter(F.col("parity") == 1)
-        .select(*keys, "parity", *[nothing.alias(n) for n in ("x1", "y1", "x2", "y2")])
     )
-    return rows.filter(F.col("x1").isNotNull()).unionByName(odd)
+
+
+def _touching(edges: DataFrame, left: Column, low: Column, size: float) -> DataFrame:
+    return edges.filter(
+        (F.least("x1", "x2") <= left + size + SLACK) & (F.greatest("x1", "x2") >= left - SLACK)
+        & (F.least("y1", "y2") <= low + size + SLACK) & (F.greatest("y1", "y2") >= low - SLACK)
+    )
 
 
 def containment_index(
@@ -403,57 +418,85 @@ def containment_index(
 ) -> list[CellIndex]:
     """Indexes of polygon ``edges`` (degrees) for point-in-polygon joins.
 
-    Edges are selected for cells, never clipped, so the test stays exact. Cells with more than ``capacity`` edges
-    are cut further.
+    A cell holds the edges that touch it, and per polygon whether its lower right corner is inside. Edges are
+    selected for cells, never clipped, so the test stays exact. Cells with more than ``capacity`` different edges are
+    cut further.
     """
     grid = DEGREE_GRID
     tasks = _tasks(edges)
-    first = levels[0]
-    size = grid.size(first)
+    size = grid.size(levels[0])
 
     def column_of(value: Column, origin: float) -> Column:
         return F.floor((value - origin) / size)
 
-    start = materialize(edges.na.drop("any"), "edges").withColumn("parity", F.lit(0))
-    rows = start.withColumn(
-        "iy",
-        F.explode(F.sequence(
-            column_of(F.least("y1", "y2") - SLACK, grid.y0), column_of(F.greatest("y1", "y2") + SLACK, grid.y0)
-        )),
-    ).withColumn(
-        "ix",
-        F.explode(F.sequence(
-            column_of(F.col("west") - SLACK, grid.x0), column_of(F.greatest("x1", "x2") + SLACK, grid.x0)
-        )),
-    )
+    start = materialize(edges.na.drop("any"), "edges").repartition(tasks, *_EDGE)
+    banded = start.withColumn("iy", F.explode(F.sequence(
+        column_of(F.least("y1", "y2") - SLACK, grid.y0), column_of(F.greatest("y1", "y2") + SLACK, grid.y0)
+    )))
+    touching = banded.withColumn("ix", F.explode(F.sequence(
+        column_of(F.least("x1", "x2") - SLACK, grid.x0), column_of(F.greatest("x1", "x2") + SLACK, grid.x0)
+    ))).drop("west")
+    # every corner left of the edge sees it on its ray
+    seen = banded.withColumn("ix", F.explode(F.sequence(
+        column_of(F.col("west") - SLACK, grid.x0), column_of(F.greatest("x1", "x2") + SLACK, grid.x0)
+    )))
+    corner = {"_right": (F.col("ix") + 1) * size + grid.x0, "_low": F.col("iy") * size + grid.y0}
+    seen = seen.withColumns(corner).filter(F.expr(ray_meets("", "_right", "_low"))).withColumn("parity", F.lit(1))
+    corners = _corner_parity(seen)
+
     finished: list[DataFrame] = []
+    columns = ["layer", "id", "ix", "iy", *_EDGE, "parity", "cell"]
     for place, level in enumerate(levels):
-        if place:
-            rows = _children(rows.repartition(tasks, "ix", "iy", "id"), 1 << (level - levels[place - 1]))
         size = grid.size(level)
-        rows = _cut(rows, F.col("ix") * size + grid.x0, F.col("iy") * size + grid.y0, size)
-        rows = rows.withColumn("cell", grid.number(level, F.col("ix"), F.col("iy")))
-        kept = materialize(_merge_parity(rows), f"containment-{level}")
+        if place:
+            parent = grid.size(levels[place - 1])
+            factor = 1 << (level - levels[place - 1])
+            # the parent's corner, then the corner of each child
+            rows = rows.withColumns({
+                "_right": (F.col("ix") + 1) * parent + grid.x0, "_low": F.col("iy") * parent + grid.y0
+            })
+            kids = _children(rows.repartition(tasks, "ix", "iy", *_EDGE), factor).withColumns({
+                "_px": (F.col("ix") + 1) * size + grid.x0, "_py": F.col("iy") * size + grid.y0
+            })
+            crosses = "((x1 > _right) <> (x2 > _right))"
+            flips = F.expr(walk_flips("", "_px", "_py", "_right", crosses, border_above("", "_right", "_low")))
+            is_edge = F.col("x1").isNotNull()
+            corners = _corner_parity(kids.withColumn("parity", F.when(is_edge, flips).otherwise(F.col("parity"))))
+            touching = _touching(kids.filter(is_edge), F.col("_px") - size, F.col("_py"), size)
+        cell = grid.number(level, F.col("ix"), F.col("iy"))
+        nothing = [F.lit(None).cast("double").alias(c) for c in _EDGE]
+        both = touching.select("layer", "id", "ix", "iy", *_EDGE, F.lit(0).alias("parity")).unionByName(
+            corners.select("layer", "id", "ix", "iy", *nothing, "parity")
+        )
+        kept = materialize(both.withColumn("cell", cell).select(*columns), f"containment-{level}")
         crowded = materialize(
-            kept.filter(F.col("x1").isNotNull()).groupBy("layer", "cell").count()
-            .filter(F.col("count") > capacity).drop("count"),
+            kept.filter(F.col("x1").isNotNull()).groupBy("layer", "cell", *_EDGE).agg(F.lit(1).alias("_one"))
+            .groupBy("layer", "cell").count().filter(F.col("count") > capacity).drop("count"),
             f"crowded-{level}",
         )
         if level == levels[-1] or crowded.isEmpty():
-            finished.append(kept)
+            finished.append(kept.withColumn("level", F.lit(level)))
             break
-        finished.append(kept.join(crowded, ["layer", "cell"], "left_anti"))
-        rows = kept.join(crowded, ["layer", "cell"], "left_semi").drop("cell")
+        finished.append(kept.join(crowded, ["layer", "cell"], "left_anti").select(*columns, F.lit(level).alias("level")))
+        rows = kept.join(crowded, ["layer", "cell"], "left_semi").select(*columns).drop("cell")
 
     flat = finished[0]
     for more in finished[1:]:
         flat = flat.unionByName(more)
+    size_of = grid.side / F.pow(F.lit(2.0), F.col("level"))
+    flat = flat.withColumns({"_right": (F.col("ix") + 1) * size_of + grid.x0, "_low": F.col("iy") * size_of + grid.y0})
+    crosses = "((x1 > _right) <> (x2 > _right))"
     edge = F.when(
         F.col("x1").isNotNull(),
-        F.struct("x1", "y1", "x2", "y2", F.least("y1", "y2").alias("low"), F.greatest("y1", "y2").alias("high")),
+        F.struct(
+            *_EDGE, F.least("y1", "y2").alias("low"), F.greatest("y1", "y2").alias("high"),
+            F.expr(crosses).alias("crosses"), F.expr(f"{crosses} AND {border_above('', '_right', '_low')}").alias("above"),
+        ),
     )
-    polygons = flat.groupBy("cell", "layer", "id").agg(
+    polygons = flat.groupBy("cell", "layer", "id", "_right").agg(
         (F.sum("parity") % 2).cast("int").alias("parity"), F.collect_list(edge).alias("edges")
     )
-    polygons = polygons.select("cell", "layer", F.struct("id", "parity", "edges").alias("candidate"))
+    polygons = polygons.select(
+        "cell", "layer", F.struct("id", "parity", F.col("_right").alias("border"), "edges").alias("candidate")
+    )
     return _finish(polygons, F.size("candidate.edges") + 1, grid, "containment-index")

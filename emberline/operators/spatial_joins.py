@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.operators.joins import salted_left_join
-from emberline.operators.spatial_index import CellIndex, candidate_distance
+from emberline.operators.spatial_index import CellIndex, candidate_distance, walk_flips
 
 NO_ID = -1
 NO_DISTANCE = -1.0
 
 #: Weight of an edge that the point lies on; no polygon has as many edges in a cell.
-_TOUCH = 1 << 30
+_TOUCH = 1 << 24
 #: Bits for the place of a candidate in its array; millimetres on Earth need 36 bits.
 _PLACE_BITS = 26
 
@@ -65,18 +65,16 @@ def _held(indexes: Sequence[CellIndex]) -> set[str]:
 
 
 def _containing(layer: str, px: str, py: str) -> Column:
-    """Lowest id of the polygons in ``_c_<layer>`` that hold the point: on an edge, or an odd number of crossings.
-
-    The ray runs to +x. The test is half-open in y, so a vertex counts once.
-    """
+    """Lowest id of the polygons in ``_c_<layer>`` that hold the point: on an edge, or an odd number of flips on the
+    walk from the point to the corner of the cell."""
     on_edge = (
-        f"(e.x2 - e.x1) * ({py} - e.y1) - (e.y2 - e.y1) * ({px} - e.x1) = 0D"
+        f"{py} BETWEEN e.low AND e.high AND (e.x2 - e.x1) * ({py} - e.y1) - (e.y2 - e.y1) * ({px} - e.x1) = 0D"
         f" AND {px} BETWEEN least(e.x1, e.x2) AND greatest(e.x1, e.x2)"
     )
-    crossed = f"{py} < e.high AND {px} < (e.x2 - e.x1) * ({py} - e.y1) / nullif(e.y2 - e.y1, 0D) + e.x1"
+    flips = walk_flips("e.", px, py, "p.border", "e.crosses", "e.above")
     # most edges end at the first test
     weight = (
-        f"CASE WHEN {py} < e.low OR {py} > e.high THEN 0 WHEN {on_edge} THEN {_TOUCH} WHEN {crossed} THEN 1 ELSE 0 END"
+        f"CASE WHEN NOT e.crosses AND ({py} < e.low OR {py} > e.high) THEN 0 WHEN {on_edge} THEN {_TOUCH} ELSE {flips} END"
     )
     total = f"aggregate(p.edges, p.parity, (n, e) -> n + {weight})"
     inside = f"CASE WHEN size(p.edges) = 0 THEN p.parity ELSE {total} END"

@@ -110,10 +110,10 @@ def brute_within(points, polygons):
 
 
 def star(rnd, cx, cy, r, n):
-    ring = [
-        (cx + r * rnd.uniform(0.4, 1) * math.cos(2 * math.pi * k / n), cy + r * rnd.uniform(0.4, 1) * math.sin(2 * math.pi * k / n))
-        for k in range(n)
-    ]
+    ring = []
+    for k in range(n):
+        reach = r * rnd.uniform(0.4, 1)
+        ring.append((cx + reach * math.cos(2 * math.pi * k / n), cy + reach * math.sin(2 * math.pi * k / n)))
     return [*ring, ring[0]]
 
 
@@ -122,11 +122,14 @@ def test_within_equals_brute_force(spark):
     polygons = []
     for i in range(25):
         cx, cy, r = rnd.uniform(-70, -40), rnd.uniform(-30, 0), rnd.choice([0.05, 0.5, 4.0])
-        polygons.append((i, [star(rnd, cx, cy, r, rnd.choice([5, 40, 300])), star(rnd, cx, cy, r / 4, 6)]))
+        polygons.append((i, [star(rnd, cx, cy, r, rnd.choice([5, 40, 90])), star(rnd, cx, cy, r / 4, 6)]))
     # integer squares with a hole: points on borders and corners
     polygons.append((90, [[(-60, -10), (-50, -10), (-50, 0), (-60, 0), (-60, -10)], [(-57, -7), (-53, -7), (-53, -3), (-57, -3), (-57, -7)]]))
     points = [(rnd.uniform(-72, -38), rnd.uniform(-32, 2)) for _ in range(600)]
-    points += [(p[0][0][0][0], p[0][0][0][1]) for p in [(q[1],) for q in polygons]]  # vertices
+    points += [q[1][0][0] for q in polygons]  # vertices
+    # around the small polygons, and a copy of one of them
+    points += [(q[1][0][0][0] + rnd.gauss(0, 0.05), q[1][0][0][1] + rnd.gauss(0, 0.05)) for q in polygons for _ in range(10)]
+    polygons.append((-5, polygons[3][1]))
     points += [(-60.0, -5.0), (-50.0, 0.0), (-55.0, -5.0), (-57.0, -5.0), (-55.0, -3.0), (-58.0, -5.0), (-61.0, -10.0), (179.0, 85.0)]
     wkt = [
         (i, "POLYGON (" + ", ".join("(" + ", ".join(f"{float(x)!r} {float(y)!r}" for x, y in ring) + ")" for ring in rings) + ")")
@@ -134,7 +137,7 @@ def test_within_equals_brute_force(spark):
     ]
     frame = spark.createDataFrame(wkt, "id bigint, geometria_wkt string")
     edges = SI.polygon_edges(SI.layer_shapes({"a": (frame, "id")}))
-    for capacity in (6, 1000):
+    for capacity in (16, 1000):
         indexes = SI.containment_index(edges, capacity=capacity)
         rows = within(point_frame(spark, points), indexes, "x", "y", {"a": "id"}).orderBy("k").collect()
         assert [r["id"] for r in rows] == brute_within(points, polygons)
