@@ -47,4 +47,5 @@ def cover_by_territory(territories: DataFrame, cover: DataFrame, name: str, cove
     areas = cover.groupBy(F.col(cover_name).alias(name), "categoria_macro").agg(
         F.sum("area_hectares").alias("area_hectares")
     )
-    return territories.join(areas, name, "inner")
+    joined = sized_left_join(territories, areas.withColumn("_found", F.lit(True)), [name], row_bytes=256)
+    return joined.filter("_found").drop("_found")
