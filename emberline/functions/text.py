@@ -40,7 +40,7 @@ def _unaccent_table() -> tuple[str, str]:
     """(source, target) for ``translate``: each accented letter to its base letter.
 
     Combining marks have no partner in the target, so ``translate`` deletes them. Characters that
-    decompose into several base characters (Hangul syllables) keep their composed form.
+    decompose into several base characters (Hangul, a few Indic vowel signs) keep their composed form.
     """
     source, target, deleted = [], [], []
     for cp in range(0x80, sys.maxunicode + 1):
