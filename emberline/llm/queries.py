@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 from emberline.llm.bpe import encode_documents
 from emberline.llm.common import ready, table
+from emberline.llm.embedding_dedup import embedding_groups
+from emberline.llm.html_text import extract_text
+from emberline.llm.licenses import MIN_DICE, TEMPLATES, scan_licenses
 from emberline.llm.line_dedup import MIN_SITES, dedup_lines
 from emberline.llm.mixing import mix_sources
 from emberline.llm.quality import BASE, quality_rules
 from emberline.llm.simhash import simhash_groups
+from emberline.llm.suffix_dedup import remove_repeats
+from emberline.llm.warc import page_records, read_warc, write_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +43,38 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(
+    "op2_warc_zstd",
+    """
+    WITH hashed AS (
+        SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
+    ),
+    bits AS (
+        SELECT *, array_to_string(list_transform(range(1, 41), lambda i: [
+            '0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'
+        ][strpos('0123456789abcdef', substr(hex, i, 1))]), '') AS b
+        FROM hashed
+    ),
+    coded AS (
+        SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(
+            list_transform(range(1, 6), lambda k: CAST(substr(b, 5 * i + k, 1) AS INTEGER) * [16, 8, 4, 2, 1][k])) AS BIGINT), 1)), '') AS payload_digest,
+            min(page_id) OVER (PARTITION BY hex) AS first
+        FROM bits
+    )
+    SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM coded
+    """,
+)
+def op2_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_records(read_warc(spark, write_warc(table(spark, sf_dir, "pages"))))
+
+
 @query(
     "op3_line_dedup",
     rf"""
@@ -105,6 +142,16 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op5_html_text")
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op6_embedding_dedup")
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 @query("op7_byte_bpe")
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -112,6 +159,38 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def _license_sql() -> str:
+    names = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in TEMPLATES.items())
+    normal = "trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))"
+    pairs = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+    return f"""
+    WITH templates AS (
+        SELECT name, {pairs.format("w")} AS pairs FROM (SELECT name, string_split({normal.format("text")}, ' ') AS w FROM (VALUES {names}) t(name, text))
+    ),
+    blocks AS (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS block, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents
+    ),
+    cut AS (
+        SELECT doc_id, line, {pairs.format("w")} AS pairs FROM (SELECT doc_id, line, string_split({normal.format("block")}, ' ') AS w FROM blocks)
+    ),
+    scored AS (
+        SELECT doc_id, line, name, 2.0::DOUBLE * len(list_intersect(c.pairs, t.pairs)) / (len(c.pairs) + len(t.pairs)) AS dice
+        FROM cut c JOIN templates t ON len(c.pairs) BETWEEN len(t.pairs) / 2 AND len(t.pairs) * 2
+    ),
+    hits AS (
+        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line, name) AS place, count(DISTINCT line) OVER (PARTITION BY doc_id) AS n_notices
+        FROM scored WHERE dice >= {MIN_DICE}
+    )
+    SELECT d.doc_id, h.name AS license, h.dice, h.line, coalesce(h.n_notices, 0) AS n_notices
+    FROM documents d LEFT JOIN hits h ON d.doc_id = h.doc_id AND h.place = 1
+    """
+
+
+@query("op8_license_scan", _license_sql())
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
