@@ -161,17 +161,20 @@ class Frames:
             yield start, b"".join(parts)
 
 
-def train_dictionary(pages: DataFrame, payload: str = "payload") -> bytes:
-    """A dictionary from at most SAMPLES payloads of at most SAMPLE_BYTES, chosen by hash; empty if they do not suffice."""
-    small = pages.filter(F.octet_length(payload).between(64, SAMPLE_BYTES)).withColumn("_at", F.xxhash64(payload))
+def train_dictionary(pages: DataFrame) -> bytes:
+    """A dictionary from the records of at most SAMPLES pages (``page_id``, ``url``, ``payload``) of at most SAMPLE_BYTES each.
+
+    They are chosen by hash, and only they come to the driver. Empty if they do not suffice for a dictionary.
+    """
+    small = pages.filter(F.octet_length("payload").between(64, SAMPLE_BYTES)).withColumn("_at", F.xxhash64("payload"))
     chosen = small.select("_at").distinct().orderBy("_at").limit(SAMPLES)
-    sample = small.join(F.broadcast(chosen), "_at", "left_semi").dropDuplicates(["_at"]).orderBy("_at").select(payload).limit(SAMPLES).collect()
-    samples = [bytes(r[0]) for r in sample]
-    if sum(map(len, samples)) < 16 * 1024 or len(samples) < 16:
+    sample = small.join(F.broadcast(chosen), "_at", "left_semi").groupBy("_at").agg(F.min(F.struct("page_id", "url", "payload")).alias("p")).orderBy("_at").select("p.*").collect()
+    samples = [build_record(r["page_id"], r["url"], bytes(r["payload"]), None, False) for r in sample]
+    total = sum(map(len, samples))
+    if len(samples) < 16 or total < 16 * 1024:
         return b""
-    size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, total // 8), samples).as_bytes()
     except zstandard.ZstdError:
         return b""
 
