@@ -81,6 +81,8 @@ def within_radius(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if k % ABANDON == ABANDON - 1 and k < 63 and (go := over != 255).mean() < 0.75:
             live, planes = live[go], planes[:, go]
             ones, twos, over = ones[go], twos[go], over[go]
+            if not len(live):
+                break
     near[live] = ~over
     return np.unpackbits(near)[: len(a)].astype(bool)
 
@@ -140,9 +142,10 @@ def link_fingerprints(distinct: DataFrame) -> DataFrame:
     """``node``, ``component`` for the ``id`` of every fingerprint (``id``, ``bits``; each distinct) with a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         key, tile, bits, ids = (table.column(c).to_numpy() for c in ("key", "tile", "bits", "id"))
         order = np.lexsort((ids, tile, key))
         key, tile = key[order], tile[order]

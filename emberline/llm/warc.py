@@ -209,8 +209,9 @@ def write_warc(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) ->
                 if out is None:
                     name = f"{context.partitionId():06d}-{context.taskAttemptId()}-{len(written):04d}.warc.zst"
                     store.create_dir(root, recursive=True)
-                    out, records = store.open_output_stream(f"{root}/{name}"), 0
-                    size = out.write(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary) or 8 + len(dictionary)
+                    out, records = store.open_output_stream(f"{root}/{name}", compression=None), 0
+                    out.write(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
+                    size = 8 + len(dictionary)
                 frame = coder.compress(build_record(*row))
                 out.write(frame)
                 records, size = records + 1, size + len(frame)
@@ -242,7 +243,7 @@ def read_warc(spark: SparkSession, archives: DataFrame) -> DataFrame:
             for archive in batch.column(0).to_pylist():
                 store, path = fs.FileSystem.from_uri(archive)
                 rows, held = [], 0
-                with store.open_input_stream(path) as stream:
+                with store.open_input_stream(path, compression=None) as stream:
                     at = 0
                     try:
                         for at, data in Frames(stream):  # noqa: B007
