@@ -31,7 +31,7 @@ def layers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def context(spark: SparkSession, sf_dir: str) -> SpatialContext:
     return once(
         "context", spark, sf_dir,
-        lambda: build_context(layers(spark, sf_dir), clean_hotspots(fixture(spark, sf_dir, "hotspots"))),
+        lambda: build_context(layers(spark, sf_dir)),
     )
 
 

@@ -8,6 +8,7 @@ from catalog import query
 from catalog.inputs import cleaned, fact, fresh_fact
 from emberline.functions.timebuckets import time_floor
 from emberline.operators import analytics as A
+from emberline.plans.sql_surface import quoted_sql, register
 from fixtures import fixture, oracle
 
 
@@ -94,6 +95,17 @@ def _(spark, sf):
     return events.select("event_id", *[time_floor(ts, p).alias(p.lower()) for p in periods])
 
 
+@query("time_floor_sql", oracle("""
+SELECT date_trunc('hour', ts) AS h, time_bucket(INTERVAL 15 MINUTE, ts) AS quarter, time_bucket(INTERVAL 30 SECOND, ts) AS half, count(*) AS n
+FROM events GROUP BY ALL"""))
+def _(spark, sf):
+    register(spark)
+    fixture(spark, sf, "SELECT ts FROM events").createOrReplaceTempView("floor_events")
+    return quoted_sql(spark, """
+SELECT TIME_FLOOR(CAST("ts" AS TIMESTAMP), 'PT1H') AS h, TIME_FLOOR(CAST("ts" AS TIMESTAMP), 'PT15M') AS quarter,
+  TIME_FLOOR(CAST("ts" AS TIMESTAMP), 'PT30S') AS half, count(*) AS n FROM "floor_events" GROUP BY ALL""")
+
+
 @query("daily_peak", oracle("""
 WITH hourly AS (SELECT municipio, date_trunc('hour', __time) AS hora, CAST(sum(total_focos) AS BIGINT) AS focos
                 FROM fact GROUP BY 1, 2),

@@ -7,8 +7,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Layouts tried after the ISO one.
-TIMESTAMP_LAYOUTS = ("yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy")
+# Layouts tried after the ISO one; day first only where month first is impossible.
+TIMESTAMP_LAYOUTS = (
+    "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy",
+    "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy", "dd-MM-yyyy HH:mm:ss", "dd-MM-yyyy",
+)
 
 _CALENDAR = {"P1D": "day", "P1W": "week", "P1M": "month", "P3M": "quarter", "P1Y": "year", "PT1H": "hour", "PT1M": "minute"}
 _SECONDS = {"S": 1, "M": 60, "H": 3600, "D": 86400}

@@ -3,46 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.session import BROADCAST_BYTES, has_at_most
 
-#: A key is hot when it holds more than 1/HOT_SHARE of the rows, so there are fewer than HOT_SHARE hot keys.
-HOT_SHARE = 500
-#: Below this number of rows a key is never worth splitting.
-HOT_ROWS = 200_000
+#: Rows with a null key are dealt to so many places.
+NULL_SALTS = 1 << 20
 
 
-def salted_left_join(
-    left: DataFrame, right: DataFrame, on: Sequence[str], *, hot_rows: int = HOT_ROWS, hot_share: int = HOT_SHARE
-) -> DataFrame:
-    """Left join of two large relations with the hot keys of ``left`` split over several tasks.
+def salted_left_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join of two large relations that no key can pile up in one task.
 
-    One pass over the key columns of ``left`` counts the rows per key (combined before the shuffle). Rows of a
-    hot key get a salt, and only those rows of ``right`` are copied once per salt. The table of hot keys has at
-    most ``hot_share`` rows, which bounds its broadcast. The salt is a hash of the other columns, so that a task
-    that runs again after a lost executor sends its rows to the same places.
+    Rows with a null key match nothing; a salt that is part of the join key spreads them, as they may be most of the rows.
+    Other hot keys are left to adaptive execution, which splits the partitions of the left side that turn out large. So
+    neither side is read ahead to look for them, and chains of joins read ``left`` once. The salt is a hash of the other
+    columns, so that a task that runs again after a lost executor sends its rows to the same places.
     """
     on = list(on)
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    if counts.isEmpty():
-        return left.join(right, on, "left")
-    total = left.select(*on).count()
-    share = max(hot_rows, total // hot_share)
-    hot = counts.filter(F.col("_n") > share).select(
-        *on, F.ceil(F.col("_n") / share).cast("int").alias("_copies")
-    )
-    hot = F.broadcast(hot)
     others = [c for c, t in left.dtypes if c not in on and "map<" not in t] or on
-    spread = left.join(hot, on, "left").withColumn(
-        "_salt", F.pmod(F.xxhash64(*others), F.coalesce("_copies", F.lit(1))).cast("int")
-    )
-    copies = right.join(hot, on, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))
-    )
-    return spread.drop("_copies").join(copies.drop("_copies"), [*on, "_salt"], "left").drop("_salt")
+    unknown = reduce(or_, [F.col(c).isNull() for c in on])
+    salt = F.when(unknown, F.pmod(F.xxhash64(*others), F.lit(NULL_SALTS))).otherwise(F.lit(0))
+    spread = left.withColumn("_salt", salt.cast("int"))
+    return spread.join(right.withColumn("_salt", F.lit(0)), [*on, "_salt"], "left").drop("_salt")
 
 
 def sized_left_join(left: DataFrame, right: DataFrame, on: Sequence[str], row_bytes: int = 1024) -> DataFrame:

@@ -23,6 +23,9 @@ from emberline.functions.projections import polyconic_xy
 from emberline.session import BROADCAST_BYTES, materialize
 
 _LEVEL_BIT, _COLUMN_BIT, _SLOT_BIT = 52, 26, 57
+#: Number of the leaf for all positions outside the box that the cells cover, and its level.
+BEYOND_CELL = -1
+BEYOND_LEVEL = BEYOND_CELL >> _LEVEL_BIT
 
 
 @dataclass(frozen=True)
@@ -64,9 +67,11 @@ class CellIndex:
     levels: Mapping[str, tuple[int, ...]]
     n_cells: int
     n_entries: int
+    #: west, east, south and north border of what the cells cover; None if there is no leaf for positions beyond
+    box: tuple[float, float, float, float] | None = None
 
     #: upper estimates of the in-memory size of one candidate and one cell
-    ENTRY_BYTES = 72
+    ENTRY_BYTES = 88
     CELL_BYTES = 96
 
     @classmethod
@@ -76,6 +81,14 @@ class CellIndex:
     def at_level(self, level: int) -> DataFrame:
         return self.leaves.filter(F.shiftright("cell", _LEVEL_BIT) == level)
 
+    def key(self, level: int, x: str, y: str) -> Column:
+        """Number of the cell at ``level`` that holds the position in columns ``x, y``; null if it cannot be a leaf."""
+        if level != BEYOND_LEVEL:
+            return self.grid.number_at(level, x, y)
+        west, east, south, north = self.box
+        outside = f"{x} < {west!r}D OR {x} > {east!r}D OR {y} < {south!r}D OR {y} > {north!r}D"
+        return F.expr(f"CASE WHEN ({outside}) AND NOT isnan({x}) AND NOT isnan({y}) THEN {BEYOND_CELL}L END")
+
     @property
     def broadcastable(self) -> bool:
         return self.size(self.n_cells, self.n_entries) <= BROADCAST_BYTES
@@ -91,7 +104,9 @@ def _tasks(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def _finish(flat: DataFrame, weight: Column, grid: Grid, label: str) -> list[CellIndex]:
+def _finish(
+    flat: DataFrame, weight: Column, grid: Grid, label: str, box: tuple[float, float, float, float] | None = None
+) -> list[CellIndex]:
     """Store the candidates of each leaf in one row: a shared table for the small layers, one for each large layer."""
     level = F.shiftright("cell", _LEVEL_BIT).alias("level")
     totals = flat.groupBy("layer", level).agg(
@@ -120,7 +135,7 @@ def _finish(flat: DataFrame, weight: Column, grid: Grid, label: str) -> list[Cel
         table = materialize(rows.groupBy("cell").agg(*arrays, F.sum(weight).alias("_entries")), label)
         exact = table.agg(F.count(F.lit(1)).alias("cells"), F.sum("_entries").alias("entries")).first()
         levels = {n: tuple(sorted(r["level"] for r in totals if r["layer"] == n)) for n in group}
-        indexes.append(CellIndex(table.drop("_entries"), grid, levels, exact["cells"], exact["entries"]))
+        indexes.append(CellIndex(table.drop("_entries"), grid, levels, exact["cells"], exact["entries"], box))
     return indexes
 
 
@@ -165,8 +180,11 @@ def metric_segments(shapes: DataFrame) -> DataFrame:
 
 #: Deepest level of the nearest index; its cells are 1 m wide.
 DEEPEST = 26
-#: Level at which positions far from all features start; the whole Earth has 1024 such cells.
-FAR_LEVEL = 5
+#: Width of the strip around the layers that cells cover too, as a share of their extent.
+AROUND = 0.0625
+#: A cell of at most STUBBORN candidates that keeps this share of its parent's is not cut.
+STUBBORN = 1024
+STUBBORN_SHARE = 0.75
 #: Ties are decided on whole millimetres, so candidates this close are all kept.
 TIE_METRES = 0.01
 
@@ -194,23 +212,19 @@ def _children(rows: DataFrame, factor: int) -> DataFrame:
     )
 
 
-def nearest_index(
-    segments: DataFrame,
-    *,
-    points: DataFrame | None = None,
-    capacity: int = 24,
-    margin: float = 300_000.0,
-) -> list[CellIndex]:
-    """Indexes of ``segments`` (``layer, id, x1, y1, x2, y2`` in metres) for nearest-feature joins.
+def nearest_index(segments: DataFrame, *, capacity: int = 24) -> list[CellIndex]:
+    """Indexes of ``segments`` (``layer, id, x1, y1, x2, y2`` in metres) for nearest-feature joins, exact for every position.
 
     A cell keeps exactly the features that can be nearest to some point in it: with ``d`` the distance
     from the cell centre and ``h`` half the cell diagonal, the nearest feature of any point in the cell
     has ``d <= min(d) + 2h``. Cells with more than ``capacity`` candidates are cut further, each child testing
-    only the candidates of its parent.
+    only the candidates of its parent. A cell of at most STUBBORN candidates that keeps nearly all of its parent's, as
+    around a vertex that many features share, is not cut: smaller cells would hold the same.
 
-    The indexes cover the bounding box of all layers plus ``margin`` metres. ``points`` (columns ``x, y``) names
-    positions beyond the box that must be covered too: the cells around them are refined in the same way.
-    Identical geometries are merged first (lowest id wins), so stacks of copies cost one candidate.
+    The cells cover a box around all layers. The way from a point outside it to its nearest feature crosses the
+    border of the box, and the feature is nearest there too; so the candidates of the cells on the border are all
+    that positions beyond the box need, and they make up one more leaf. Identical geometries are merged first (lowest id
+    wins), so stacks of copies cost one candidate.
     """
     grid = METRIC_GRID
     tasks = _tasks(segments)
@@ -233,19 +247,8 @@ def nearest_index(
     ).first()
     if box[0] is None:
         box = (grid.x0, grid.x0, grid.y0, grid.y0)
-    west, east, south, north = box[0] - margin, box[1] + margin, box[2] - margin, box[3] + margin
-
-    extra = None
-    if points is not None:
-        # each coordinate is named once: it is a long expression, and filters do not share common parts
-        beyond = F.greatest(
-            F.abs(F.col("x") - (west + east) / 2) - (east - west) / 2,
-            F.abs(F.col("y") - (south + north) / 2) - (north - south) / 2,
-        )
-        extra = points.select("x", "y").filter(F.nanvl(beyond, F.lit(-1.0)) > 0).distinct()
-        extra = materialize(extra, "outliers")
-        if extra.isEmpty():
-            extra = None
+    around = max(box[1] - box[0], box[3] - box[2], 1000.0) * AROUND
+    west, east, south, north = box[0] - around, box[1] + around, box[2] - around, box[3] + around
 
     # one number names layer and cell: the slot of the layer stands above the bits of the cell
     names = sorted(r["layer"] for r in active.select("layer").distinct().collect())  # one row per layer
@@ -271,64 +274,40 @@ def nearest_index(
             (F.col("_len") / 2).alias("half"),
         ).alias("candidate"),
     )
-    # the box is covered by about 10 x 10 cells to start with
+    # a few cells cover the box to start with
     extent = max(east - west, north - south, 1.0)
-    start = min(max(math.ceil(math.log2(grid.side / extent)) + 3, FAR_LEVEL), DEEPEST - 2)
+    start = min(max(math.ceil(math.log2(grid.side / extent)), 0), DEEPEST - 2)
     size = grid.size(start)
     columns = range(math.floor((west - grid.x0) / size), math.floor((east - grid.x0) / size) + 1)
     rows = range(math.floor((south - grid.y0) / size), math.floor((north - grid.y0) / size) + 1)
-    box_cells = [(ix, iy) for ix in columns for iy in rows]
-    active = active.repartition(tasks, "candidate.id")
-    kids = active.select("*", F.lit(False).alias("far"), F.inline(_cells(box_cells)))
-    if extra is not None:
-        # at most 1024 cells
-        found = extra.select(grid.number_at(FAR_LEVEL, "x", "y").alias("cell")).na.drop().distinct().collect()
-        mask = (1 << _COLUMN_BIT) - 1
-        far_cells = [((r["cell"] >> _COLUMN_BIT) & mask, r["cell"] & mask) for r in found]
-        kids = kids.unionByName(
-            active.select("*", F.lit(True).alias("far"), F.inline(_cells(far_cells)))
-        )
+    first = active.select("*", F.lit(None).cast("bigint").alias("of"), F.inline(_cells([(ix, iy) for ix in columns for iy in rows])))
+    kids = _children(first.repartition(tasks, "ix", "iy", "candidate.id"), 4)
     finished: list[DataFrame] = []
-    for step in range(start, DEEPEST + 1, 2):
-        branches = []
-        for far, level in ((False, step), (True, FAR_LEVEL + step - start)):
-            if far and extra is None:
-                continue
-            size = grid.size(level)
-            left, low = F.col("ix") * size + grid.x0, F.col("iy") * size + grid.y0
-            branch = kids.filter(F.col("far") == far).withColumn("cell", grid.number(level, F.col("ix"), F.col("iy")))
-            if far:
-                asked = extra.select(grid.number_at(level, "x", "y").alias("cell")).distinct()
-                branch = branch.join(asked, "cell", "left_semi")
-            else:
-                branch = branch.filter((left <= east) & (left + size >= west) & (low <= north) & (low + size >= south))
-            measured = branch.withColumns({"_cx": left + size / 2, "_cy": low + size / 2}).withColumn(
-                "_d", F.expr(candidate_distance("candidate", "_cx", "_cy"))
-            )
-            branches.append(
-                measured.select(
-                    "candidate", "far", "ix", "iy", "_d",
-                    F.lit(size * math.sqrt(2) * (1 + 1e-9) + TIE_METRES).alias("_reach"),
-                    (F.col("slot") * (1 << _SLOT_BIT) + F.col("cell")).alias("place"),
-                )
-            )
-        kids = branches[0] if len(branches) == 1 else branches[0].unionByName(branches[1])
+    for level in range(start + 2, DEEPEST + 1, 2):
+        size = grid.size(level)
+        left, low = F.col("ix") * size + grid.x0, F.col("iy") * size + grid.y0
+        covered = kids.filter((left <= east) & (left + size >= west) & (low <= north) & (low + size >= south))
+        measured = covered.withColumns({"_cx": left + size / 2, "_cy": low + size / 2}).select(
+            "candidate", "ix", "iy", "of", F.expr(candidate_distance("candidate", "_cx", "_cy")).alias("_d"),
+            ((left < west) | (left + size > east) | (low < south) | (low + size > north)).alias("border"),
+            (F.col("slot") * (1 << _SLOT_BIT) + grid.number(level, F.col("ix"), F.col("iy"))).alias("place"),
+        )
+        reach = size * math.sqrt(2) * (1 + 1e-9) + TIE_METRES
         # stored, so that its true size decides how it is joined
-        closest = materialize(kids.groupBy("place").agg(F.min("_d").alias("_min")), f"closest-{step}")
+        closest = materialize(measured.groupBy("place").agg(F.min("_d").alias("_min")), f"closest-{level}")
         kept = materialize(
-            kids.join(closest, "place").filter(F.col("_d") <= F.col("_min") + F.col("_reach")).drop("_d", "_min", "_reach"),
-            f"nearest-{step}",
+            measured.join(closest, "place").filter(F.col("_d") <= F.col("_min") + reach).drop("_d", "_min"), f"nearest-{level}"
         )
-        crowded = materialize(
-            kept.groupBy("place").count().filter(F.col("count") > capacity).drop("count"), f"crowded-{step}"
-        )
-        if step + 2 > DEEPEST or crowded.isEmpty():
+        counted = kept.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.first("of").alias("of"))
+        stubborn = (F.col("n") <= STUBBORN) & (F.col("n") >= STUBBORN_SHARE * F.coalesce("of", F.lit(1 << 40)))
+        crowded = materialize(counted.filter((F.col("n") > capacity) & ~stubborn).select("place", "n"), f"crowded-{level}")
+        if level + 2 > DEEPEST or crowded.isEmpty():
             finished.append(kept)
             break
         finished.append(kept.join(crowded, "place", "left_anti"))
         # every row is about to be multiplied: spread the rows over all tasks first
-        active = kept.join(crowded, "place", "left_semi").select(
-            "candidate", "far", "ix", "iy", F.shiftright("place", _SLOT_BIT).alias("slot")
+        active = kept.join(crowded, "place").select(
+            "candidate", "ix", "iy", F.col("n").alias("of"), F.shiftright("place", _SLOT_BIT).alias("slot")
         )
         kids = _children(active.repartition(tasks, "ix", "iy", "candidate.id"), 4)
 
@@ -338,9 +317,11 @@ def nearest_index(
     flat = flat.select(
         F.get(F.array(*[F.lit(n) for n in names or [""]]), F.shiftright("place", _SLOT_BIT).cast("int")).alias("layer"),
         F.col("place").bitwiseAND(F.lit((1 << _SLOT_BIT) - 1)).alias("cell"),
-        "candidate",
+        "candidate", "border",
     )
-    return _finish(flat, F.lit(1), grid, "nearest-index")
+    beyond = flat.filter("border").select("layer", F.lit(BEYOND_CELL).alias("cell"), "candidate").distinct()
+    flat = flat.drop("border").unionByName(beyond)
+    return _finish(flat, F.lit(1), grid, "nearest-index", (west, east, south, north))
 
 
 # ----------------------------------------------------------------------------------------- containment
@@ -413,6 +394,13 @@ def _touching(edges: DataFrame, left: Column, low: Column, size: float) -> DataF
     )
 
 
+def _visible(rows: DataFrame) -> DataFrame:
+    """Without the polygons that can never win in a cell, because one with a lower id covers all of it."""
+    whole = rows.groupBy("layer", "cell", "id").agg(F.count("x1").alias("edges"), F.sum("parity").alias("parity"))
+    lowest = whole.filter("edges = 0 AND parity % 2 = 1").groupBy("layer", "cell").agg(F.min("id").alias("_lowest"))
+    return rows.join(lowest, ["layer", "cell"], "left").filter("_lowest IS NULL OR id <= _lowest").drop("_lowest")
+
+
 def containment_index(
     edges: DataFrame, *, capacity: int = 24, levels: Sequence[int] = CONTAINMENT_LEVELS
 ) -> list[CellIndex]:
@@ -463,12 +451,13 @@ def containment_index(
             is_edge = F.col("x1").isNotNull()
             corners = _corner_parity(kids.withColumn("parity", F.when(is_edge, flips).otherwise(F.col("parity"))))
             touching = _touching(kids.filter(is_edge), F.col("_px") - size, F.col("_py"), size)
-        cell = grid.number(level, F.col("ix"), F.col("iy"))
         nothing = [F.lit(None).cast("double").alias(c) for c in _EDGE]
         both = touching.select("layer", "id", "ix", "iy", *_EDGE, F.lit(0).alias("parity")).unionByName(
             corners.select("layer", "id", "ix", "iy", *nothing, "parity")
         )
-        kept = materialize(both.withColumn("cell", cell).select(*columns), f"containment-{level}")
+        cell = grid.number(level, F.col("ix"), F.col("iy"))
+        kept = _visible(materialize(both.withColumn("cell", cell).select(*columns), f"touching-{level}"))
+        kept = materialize(kept.select(*columns), f"containment-{level}")
         crowded = materialize(
             kept.filter(F.col("x1").isNotNull()).groupBy("layer", "cell", *_EDGE).agg(F.lit(1).alias("_one"))
             .groupBy("layer", "cell").count().filter(F.col("count") > capacity).drop("count"),

@@ -35,17 +35,18 @@ def _probe(points: DataFrame, indexes: Sequence[CellIndex], layers: Sequence[str
     large: dict[str, CellIndex] = {}
     for number, index in enumerate(indexes):
         wanted = [n for n in layers if n in index.levels]
-        for level in sorted({v for n in wanted for v in index.levels[n]}):
-            key = f"_k{number}_{level}"
+        # the leaf for positions beyond the box comes last: a cell that reaches over the border is smaller and as exact
+        for level in sorted({v for n in wanted for v in index.levels[n]}, key=lambda v: (v < 0, v)):
+            key = f"_k{number}_{level}".replace("-", "m")
             part = index.at_level(level)
-            values = {n: f"_c{number}_{level}_{n}" for n in wanted if level in index.levels[n]}
+            values = {n: f"_c{number}_{level}_{n}".replace("-", "m") for n in wanted if level in index.levels[n]}
             if index.broadcastable:
                 part = F.broadcast(part.select(F.col("cell").alias(key), *[F.col(n).alias(v) for n, v in values.items()]))
             else:
                 part = part.select(F.col("cell").alias(key), *[F.col("cell").alias(v) for v in values.values()])
                 part = F.broadcast(part) if index.directory_broadcastable else part
                 large.update(dict.fromkeys(values, index))
-            points = points.join(part, index.grid.number_at(level, x, y) == F.col(key), "left")
+            points = points.join(part, index.key(level, x, y) == F.col(key), "left")
             for name, value in values.items():
                 arrays.setdefault(name, []).append(F.col(value))
     if arrays:
@@ -113,8 +114,7 @@ def nearest(
     """Add the nearest feature per layer (``out``: layer -> id column and distance column in km).
 
     ``x, y`` are projected metres. Distances are compared in whole millimetres and the lowest id wins a tie;
-    the result is rounded to 2 decimals. Points that are null, NaN or outside the index, and layers without
-    features, give ``-1`` and ``-1.0``.
+    the result is rounded to 2 decimals. Points that are null or NaN, and layers without features, give ``-1`` and ``-1.0``.
     """
     held = [layer for layer in out if layer in _held(indexes)]
     located = _probe(points, indexes, held, x, y)

@@ -48,34 +48,26 @@ class SpatialContext:
     distances: Sequence[CellIndex]
 
 
-def projected_points(hotspots: DataFrame) -> DataFrame:
-    """``x, y`` in metres of cleaned hotspots, for covering positions beyond the layers."""
-    x, y = polyconic_xy(F.col("longitude"), F.col("latitude"))
-    return hotspots.select(x.alias("x"), y.alias("y"))
-
-
-def build_context(layers: Mapping[str, DataFrame | None], hotspots: DataFrame | None = None, **options) -> SpatialContext:
+def build_context(layers: Mapping[str, DataFrame | None], **options) -> SpatialContext:
     """Index the dimension layers.
 
     ``layers`` maps the names of ``AREA_LAYERS`` and ``DISTANCE_LAYERS`` to dimension tables; a missing one yields
-    sentinels. Pass the cleaned ``hotspots`` of a batch so that positions far outside the layers get an exact
-    answer too; a stream leaves them out and such positions get the sentinels.
+    sentinels. The indexes answer for every position, so one context serves all batches and streams.
     """
     areas = layer_shapes({n: (layers.get(n), key) for n, (key, _) in AREA_LAYERS.items()})
     infrastructure = layer_shapes({n: (layers.get(n), key) for n, (key, *_) in DISTANCE_LAYERS.items()})
-    points = projected_points(hotspots) if hotspots is not None else None
     inside = containment_index(polygon_edges(areas)) if areas is not None else []
-    distances: Sequence[CellIndex] = []
-    if infrastructure is not None:
-        distances = nearest_index(metric_segments(infrastructure), points=points, **options)
+    distances = nearest_index(metric_segments(infrastructure), **options) if infrastructure is not None else []
     return SpatialContext(inside, distances)
 
 
 def clean_hotspots(raw: DataFrame) -> DataFrame:
     """Typed and cleaned hotspot columns; every input column is kept.
 
-    An absent coordinate becomes 0.0 and a NaN one stays NaN (it gets the spatial sentinels).
+    A missing coordinate column counts as 0.0; an empty or unreadable cell becomes NaN (it gets the spatial sentinels).
     """
+    absent = [c for c in ("Latitude", "Longitude") if c not in raw.columns]
+    raw = raw.withColumns({c: F.lit(0.0) for c in absent}) if absent else raw
     types = dict(raw.dtypes)
 
     def metric(name: str):
@@ -83,7 +75,7 @@ def clean_hotspots(raw: DataFrame) -> DataFrame:
 
     def coordinate(name: str):
         number = F.col(name).cast("double") if types[name] in _NUMERIC else to_number(F.col(name))
-        return F.coalesce(number, F.lit(0.0))
+        return F.coalesce(number, F.lit(float("nan")))
 
     time = F.col("DataHora") if types["DataHora"].startswith("timestamp") else parse_timestamp(F.col("DataHora"))
     label = strip(F.col("Bioma"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -33,24 +35,43 @@ def build_session(app: str = "emberline", master: str | None = None, **conf: str
 
 @functools.cache
 def _local_work_folder() -> str:
-    return tempfile.mkdtemp(prefix="emberline-")
+    folder = tempfile.mkdtemp(prefix="emberline-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def work_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local-mode session may go without the setting; it gets a temporary folder.
+    Only a session whose driver and executors are one process may go without the setting; it gets a temporary folder
+    that goes with the process.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
         return _local_work_folder()
     raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{work_folder(spark)}/emberline/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{work_folder(spark)}/emberline/{label}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in whatever store ``path`` names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; indexes and tables that read them are unusable afterwards."""
+    delete_path(spark, _scratch_root(spark))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

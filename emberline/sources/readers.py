@@ -14,17 +14,29 @@ from emberline.functions.geometry import parts_from_geojson
 
 def read_csv(
     spark: SparkSession, path: str, *, schema: T.StructType | None = None, sep: str = ",", encoding: str = "UTF-8",
-    glob: str | None = None,
+    glob: str | None = None, multiline: bool = False,
 ) -> DataFrame:
-    """Delimited text with a header. Without ``schema`` every column is text, which keeps leading zeros."""
+    """Delimited text with a header. Without ``schema`` every column is text, which keeps leading zeros.
+
+    With one, its columns are picked by the header's names, in whatever order and among whatever others they stand;
+    a bad cell or an absent column is null. Files whose headers differ from each other are refused. ``multiline`` is for sources
+    with line ends in quoted cells; such a file is read by one task.
+    """
     reader = spark.read.options(
-        header=True, sep=sep, encoding=encoding, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=False
+        header=True, sep=sep, encoding=encoding, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=False, multiLine=multiline
     )
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.csv(path)
+    text = reader.csv(path)
+    return text if schema is None else pick_columns(text, schema)
+
+
+def pick_columns(text: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema`` by name, typed; null where a cell cannot be read or the column is absent."""
+    return text.select(*[
+        (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in text.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in schema.fields
+    ])
 
 
 def read_facility_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -35,10 +47,13 @@ def read_facility_csv(spark: SparkSession, path: str) -> DataFrame:
 def read_sheet(spark: SparkSession, path: str, *, skip_rows: int = 0) -> DataFrame:
     """A sheet exported as CSV, all columns as text, with ``skip_rows`` title rows above the header.
 
-    Title rows are told apart by their position in the file: the first split of the file holds the head.
+    Title rows are told apart by their position in the file: the first split of the file holds the head. With title rows
+    ``path`` must therefore be a single file.
     """
     if not skip_rows:
         return read_csv(spark, path)
+    if len(spark.read.text(path).inputFiles()) != 1:
+        raise ValueError(f"title rows can be skipped in a single file only: {path}")
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row")
     )

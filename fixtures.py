@@ -27,20 +27,32 @@ FIXTURES: dict[str, str] = {
     "hotspots": """
 SELECT event_id,
   CASE WHEN event_id % 113 = 0 THEN 'sem data' WHEN event_id % 127 = 0 THEN NULL
-       ELSE substr(CAST(ts AS STRING), 1, 19) END AS DataHora,
-  CASE WHEN event_id % 89 = 0 THEN NULL ELSE 'Estado ' || CAST(user_id % 27 AS STRING) END AS Estado,
-  CASE WHEN event_id % 83 = 0 THEN '   ' ELSE ' São João ' || CAST(user_id AS STRING) END AS Municipio,
+       WHEN event_id % 131 = 0 AND day > '12' THEN day || '/' || substr(CAST(ts AS STRING), 6, 2) || '/'
+         || substr(CAST(ts AS STRING), 1, 4) || ' ' || moment
+       ELSE substr(CAST(ts AS STRING), 1, 10) || ' ' || moment END AS DataHora,
+  CASE WHEN event_id % 89 = 0 THEN NULL ELSE 'Estado ' || CAST(place % 3 AS STRING) END AS Estado,
+  CASE WHEN event_id % 83 = 0 THEN '   ' ELSE ' São João ' || CAST(place AS STRING) END AS Municipio,
   CASE WHEN event_id % 103 = 0 THEN NULL WHEN event_id % 107 = 0 THEN CAST('NaN' AS DOUBLE)
+       WHEN event_id % 10 <> 0 THEN -30e0 + place * 7e0 + (event_id % 7) / 1e3
+       WHEN event_id % 250 = 0 THEN -70e0 + ((event_id * 7919) % 130000) / 1e3
        ELSE -33.75e0 + ((event_id * 7919) % 39000) / 1e3 END AS Latitude,
   CASE WHEN event_id % 103 = 0 THEN NULL WHEN event_id % 109 = 0 THEN CAST('NaN' AS DOUBLE)
+       WHEN event_id % 10 <> 0 THEN -70e0 + place * 6e0 + (event_id % 11) / 1e3
+       WHEN event_id % 250 = 0 THEN -170e0 + ((event_id * 104729) % 330000) / 1e3
        ELSE -73.99e0 + ((event_id * 104729) % 39000) / 1e3 END AS Longitude,
-  CASE user_id % 6 WHEN 0 THEN 'Amazônia' WHEN 1 THEN 'Cerrado' WHEN 2 THEN 'Caatinga'
+  CASE place % 6 WHEN 0 THEN 'Amazônia' WHEN 1 THEN 'Cerrado' WHEN 2 THEN 'Caatinga'
        WHEN 3 THEN 'Mata Atlântica' WHEN 4 THEN 'Pampa' ELSE 'Pantanal' END AS Bioma,
-  event_type AS Satelite,
+  CASE WHEN event_type IN ('click', 'view') THEN 'AQUA' ELSE 'TERRA' END AS Satelite,
   CAST(event_id % 120 AS DOUBLE) AS DiaSemChuva,
   value / 1e1 AS Precipitacao,
   (event_id % 100) / 1e2 AS RiscoFogo,
   CASE WHEN event_id % 97 = 0 THEN -999e0 WHEN event_id % 101 = 0 THEN NULL ELSE value END AS FRP
+FROM moments""",
+    # few places and minutes, so that several hotspots share a row of the fact
+    "moments": """
+SELECT *, user_id % 5 AS place, substr(CAST(ts AS STRING), 9, 2) AS day,
+  lpad(CAST((event_id % 4) * 5 AS STRING), 2, '0') || ':0' || CAST(event_id % 2 AS STRING) || ':'
+  || lpad(CAST(CAST(floor(event_id / 4e0) AS BIGINT) % 60 AS STRING), 2, '0') AS moment
 FROM events""",
     # indigenous lands: triangle with a triangular hole
     "land_corners": """
@@ -330,16 +342,18 @@ def _point_rows(table: str, key: str) -> str:
     )
 
 
-_TS = "coalesce(try_cast(DataHora AS TIMESTAMP), TIMESTAMP '1970-01-01 00:00:00')"
+#: Day-first text is read where the month-first reading is impossible.
+_READ = "coalesce(try_cast(DataHora AS TIMESTAMP), try_strptime(DataHora, '%m/%d/%Y %H:%M:%S'), try_strptime(DataHora, '%d/%m/%Y %H:%M:%S'))"
+_TS = f"coalesce({_READ}, TIMESTAMP '1970-01-01 00:00:00')"
 
 ORACLE: dict[str, str] = {
     **FIXTURES,
     "clean": f"""
 SELECT event_id, {_TS} AS momento,
-  coalesce(CAST(strftime(try_cast(DataHora AS TIMESTAMP), '%Y%m%d') AS INTEGER), 0) AS id_data,
+  coalesce(CAST(strftime({_READ}, '%Y%m%d') AS INTEGER), 0) AS id_data,
   strftime({_TS}, '%Y-%m-%d %H:%M:%S') AS data_hora,
   {_clean_text('Estado')} AS estado, {_clean_text('Municipio')} AS municipio,
-  coalesce(Latitude, 0e0) AS latitude, coalesce(Longitude, 0e0) AS longitude,
+  coalesce(Latitude, CAST('NaN' AS DOUBLE)) AS latitude, coalesce(Longitude, CAST('NaN' AS DOUBLE)) AS longitude,
   {_clean_text('Bioma')} AS bioma_inpe, Bioma AS bioma, {_clean_text('Satelite')} AS satelite_sensor,
   {_metric('DiaSemChuva')} AS dias_sem_chuva, {_metric('Precipitacao')} AS precipitacao_mm,
   {_metric('RiscoFogo')} AS risco_fogo_inpe, {_metric('FRP')} AS potencia_radiativa_fogo

@@ -37,9 +37,9 @@ def point_frame(spark, points):
     return spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(points)], "k int, x double, y double")
 
 
-def probe(spark, segments, points, cover=True, **options):
+def probe(spark, segments, points, **options):
     frame = point_frame(spark, points)
-    indexes = SI.nearest_index(metric_frame(spark, segments), points=frame if cover else None, **options)
+    indexes = SI.nearest_index(metric_frame(spark, segments), **options)
     rows = nearest(frame, indexes, "x", "y", {"a": ("id", "km")}).orderBy("k").collect()
     return [(r["id"], r["km"]) for r in rows]
 
@@ -84,9 +84,35 @@ def test_nearest_ties_and_copies(spark):
     ]
 
 
-def test_nearest_outside_without_cover_gives_sentinels(spark):
-    got = probe(spark, [(1, 5e6, 9e6, 5e6, 9e6)], [(5e6, 9e6), (2e7, 9e6), (float("nan"), 9e6)], cover=False)
-    assert got == [(1, 0.0), (-1, -1.0), (-1, -1.0)]
+def test_nearest_far_from_all_features_is_exact(spark):
+    rnd = random.Random(8)
+    segments, _ = random_case(4, 150, 1)
+    points = [(rnd.uniform(-2e7, 3e7), rnd.uniform(-2e7, 4e7)) for _ in range(300)] + [(5e6, 1e7), (1e9, -1e9), (4e6 - 4e5, 9e6)]
+    assert probe(spark, segments, points) == brute_nearest(points, segments)
+    assert probe(spark, [(1, 5e6, 9e6, 5e6, 9e6)], [(2e7, 9e6), (float("nan"), 9e6)]) == [(1, 15000.0), (-1, -1.0)]
+
+
+def test_segments_that_meet_in_one_vertex_stay_small(spark):
+    spokes = [(i, 5e6, 9e6, 5e6 + 1e5 * math.cos(i * math.pi / 150), 9e6 + 1e5 * math.sin(i * math.pi / 150)) for i in range(300)]
+    indexes = SI.nearest_index(metric_frame(spark, spokes))
+    assert sum(i.n_entries for i in indexes) < 50_000
+    points = [(5e6 + r * math.cos(a), 9e6 + r * math.sin(a)) for r in (0, 1, 50, 3e3, 9e4, 4e5) for a in (0.1, 1.7, 4.0)]
+    rows = nearest(point_frame(spark, points), indexes, "x", "y", {"a": ("id", "km")}).orderBy("k").collect()
+    assert [(r["id"], r["km"]) for r in rows] == brute_nearest(points, spokes)
+
+
+def test_nested_polygons_stay_small(spark):
+    def square(i):
+        r = 1.0 + i / 1000
+        return (i, f"POLYGON (({-50 - r} {-10 - r}, {-50 + r} {-10 - r}, {-50 + r} {-10 + r}, {-50 - r} {-10 + r}, {-50 - r} {-10 - r}))")
+
+    frame = spark.createDataFrame([square(i) for i in range(1000)], "id bigint, geometria_wkt string")
+    indexes = SI.containment_index(SI.polygon_edges(SI.layer_shapes({"a": (frame, "id")})), levels=(9, 11, 13))
+    widest = max(i.leaves.agg(F.max(F.size("a"))).first()[0] for i in indexes)
+    assert widest <= 200
+    points = [(-50.0, -10.0), (-48.9995, -10.0), (-48.5005, -10.0), (-47.9, -10.0), (-48.0, -9.0)]
+    rows = within(point_frame(spark, points), indexes, "x", "y", {"a": "id"}).orderBy("k").collect()
+    assert [r["id"] for r in rows] == [0, 1, 500, -1, -1]
 
 
 def brute_within(points, polygons):
@@ -150,7 +176,7 @@ def raw_hotspot(spark, rows):
 
 def test_enrichment_without_layers_and_with_bad_positions(spark):
     raw = raw_hotspot(spark, [(-1.0, -48.0), (float("nan"), -48.0), (None, None)])
-    context = build_context({}, None)
+    context = build_context({})
     out = enrich_hotspots(raw, context)
     assert out.columns == ENRICHED_HOTSPOT.fieldNames()
     for row in out.collect():
@@ -161,13 +187,13 @@ def test_enrichment_of_absent_and_nan_positions(spark):
     points = spark.createDataFrame([(7, -48.0, -1.0)], "codigo_cnes bigint, longitude double, latitude double")
     empty = points.filter("false").withColumnRenamed("codigo_cnes", "id_subestacao")
     raw = raw_hotspot(spark, [(-1.0, -48.0), (float("nan"), -48.0), (None, None)])
-    from emberline.plans.enrichment import clean_hotspots
-
-    context = build_context({"hospitais": points, "subestacoes": empty}, clean_hotspots(raw))
+    context = build_context({"hospitais": points, "subestacoes": empty})
     rows = enrich_hotspots(raw, context).collect()
     got = {str(r["latitude"]): (r["codigo_cnes_prox"], r["distancia_hospital_km"], r["id_subestacao"]) for r in rows}
-    df = spark.sql("SELECT 0D lon, 0D lat UNION ALL SELECT -48D, -1D")
-    (x0, y0), (x1, y1) = [tuple(r) for r in df.select(*polyconic_xy(F.col("lon"), F.col("lat"))).collect()]
     assert got["-1.0"] == (7, 0.0, -1)
     assert got["nan"] == (-1, -1.0, -1)
-    assert got["0.0"] == (7, pytest.approx(math.hypot(x0 - x1, y0 - y1) / 1000, abs=0.006), -1)
+    # a missing column counts as 0.0
+    far = enrich_hotspots(raw.drop("Latitude", "Longitude").limit(1), context).first()
+    df = spark.sql("SELECT 0D lon, 0D lat UNION ALL SELECT -48D, -1D")
+    (x0, y0), (x1, y1) = [tuple(r) for r in df.select(*polyconic_xy(F.col("lon"), F.col("lat"))).collect()]
+    assert far["distancia_hospital_km"] == pytest.approx(math.hypot(x0 - x1, y0 - y1) / 1000, abs=0.006)
