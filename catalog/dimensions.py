@@ -18,6 +18,7 @@ from emberline.plans.landcover_dims import (
     land_cover_dimension,
 )
 from emberline.plans.territory_dims import indigenous_lands, municipalities
+from emberline.schemas import DIMENSIONS
 from emberline.sources.dimensions import typed_dimension
 from fixtures import fixture, oracle
 
@@ -173,3 +174,42 @@ def _(spark, sf):
         fixture(spark, sf, "facilities"), fixture(spark, sf, "facility_cities"), fixture(spark, sf, "facility_types")
     )
     return joined.groupBy("estado_sigla", "tipo_unidade").agg(F.count(F.lit(1)).alias("unidades"))
+
+
+@query("dim_rodovias_second_scheme", oracle(r"""
+SELECT row_number() OVER (ORDER BY codigo_rodovia, jurisdicao, revestimento, tipo_pavimento, situacao_fisica, status_operacional, geometria_wkt)
+    AS id_trecho_rodoviario, *
+FROM (SELECT strip_accents(upper(codigo_rodovia)) AS codigo_rodovia, 'FEDERAL' AS jurisdicao, 'ASFALTO' AS revestimento,
+        'TIPO ' || CAST(id_trecho_rodoviario % 3 AS VARCHAR) AS tipo_pavimento, 'NAO INFORMADO' AS situacao_fisica, 'SIM' AS status_operacional,
+        regexp_replace(geometria_wkt, '\.0([ ,)])', '\1', 'g') AS geometria_wkt FROM roads)"""))
+def _(spark, sf):
+    raw = fixture(spark, sf, """
+SELECT lower(codigo_rodovia) AS sigla, 'Federal' AS jurisdicao, 'outro' AS ds_jurisdi, ' Asfalto ' AS revestimen,
+  'tipo ' || CAST(id_trecho_rodoviario % 3 AS STRING) AS tipopavime, CAST(NULL AS STRING) AS situacaofi, 'sim' AS operaciona,
+  geometria_wkt FROM roads""")
+    return roads(features(raw))
+
+
+def _cells(spec, number, text, bad, whole):
+    """Cells of a raw dimension file, column by column: bad numbers, whole numbers written as decimals, one column absent."""
+    for j, field in enumerate(spec.schema.fields[:-1]):
+        kind = field.dataType.simpleString()
+        if kind == "bigint":
+            yield f"CASE WHEN (s_suppkey + {j}) % 7 = 0 THEN {bad} WHEN (s_suppkey + {j}) % 5 = 0 THEN {whole} ELSE {number} END AS {field.name}"
+        elif kind == "double":
+            yield f"CASE WHEN (s_suppkey + {j}) % 7 = 0 THEN {bad} ELSE {text.format(number=number)} END AS {field.name}"
+        else:
+            yield f"'v ' || CAST(s_suppkey + {j} AS STRING) AS {field.name}"
+
+
+def _typed(name, spec):
+    last = spec.schema.fields[-1]
+    raw = "SELECT " + ", ".join(_cells(spec, "CAST(s_suppkey AS STRING)", "{number} || '.25'", "'x'", "CAST(s_suppkey AS STRING) || '.0'")) + " FROM supplier"
+    typed = ", ".join(_cells(spec, "CAST(s_suppkey AS BIGINT)", "{number} + 0.25e0", "NULL", "CAST(s_suppkey AS BIGINT)"))
+    kind = {"bigint": "BIGINT", "double": "DOUBLE"}.get(last.dataType.simpleString(), "VARCHAR")
+    want = f"SELECT TIMESTAMP '{spec.time}' AS __time, {typed}, CAST(NULL AS {kind}) AS {last.name} FROM supplier"
+    query(f"typed_{name}", oracle(want))(lambda spark, sf: typed_dimension(fixture(spark, sf, raw), name))
+
+
+for _name, _spec in DIMENSIONS.items():
+    _typed(_name, _spec)

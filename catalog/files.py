@@ -21,7 +21,7 @@ from emberline.sources.readers import (
 from emberline.sources.storage import compact_by_year, write_fragments
 from emberline.sources.writers import event_json, geojson_collections, write_csv, write_geojson
 from emberline.streaming.hotspots import parse_events
-from catalog.tables import located, wide_cover
+from catalog.tables import YEARS, legend, located, wide_cover
 from catalog.spatial import ENRICHED
 from fixtures import fixture, oracle
 
@@ -29,8 +29,10 @@ from fixtures import fixture, oracle
 @query("scan_csv", oracle("SELECT * EXCLUDE (event_id) FROM hotspots"))
 def _(spark, sf):
     path = scratch_path(spark, "hotspots-csv")
-    write_csv(fixture(spark, sf, "hotspots").drop("event_id"), path)
-    return read_csv(spark, path, schema=RAW_HOTSPOT)
+    hotspots = fixture(spark, sf, "hotspots").withColumnRenamed("event_id", "sobra")
+    write_csv(hotspots.select(*reversed(hotspots.columns)), path)
+    # columns are found by name, whatever their order and whatever else is there; cells may hold line ends
+    return read_csv(spark, path, schema=RAW_HOTSPOT, multiline=True)
 
 
 @query("scan_csv_latin1", oracle("SELECT * FROM facilities"))
@@ -99,22 +101,36 @@ WHERE CAST(floor((codigo_cnes - 1) / 40e0) AS BIGINT) <> 3 OR codigo_cnes % 2 =
     return merged.select("codigo_cnes", vertex["x"].alias("longitude"), vertex["y"].alias("latitude"))
 
 
-@query("scan_landcover", oracle("""
-SELECT coded_name AS indigenous_territories, state, biome, class_id, CAST(y2000 AS VARCHAR) AS "2000", CAST(y2001 AS VARCHAR) AS "2001"
-FROM cover_named"""))
+@query("scan_landcover", oracle("SELECT coded_name AS indigenous_territories, state, biome, class_id, " + ", ".join(
+    f'CAST(y{y} AS VARCHAR) AS "{y}"' for y in YEARS
+) + " FROM cover_named"))
 def _(spark, sf):
     path = scratch_path(spark, "sheet")
     wide = wide_cover(spark, sf, "indigenous_territories", "coded_name")
-    write_csv(wide.select("indigenous_territories", "state", "biome", "class_id", "2000", "2001"), path)
+    write_csv(wide.select("indigenous_territories", "state", "biome", "class_id", *YEARS), path)
     return read_sheet(spark, path)
 
 
+@query("scan_legend_with_titles", oracle("SELECT code AS \"Code ID\", label AS \"COLEÇÃO 10 - CLASSES\" FROM legend"))
+def _(spark, sf):
+    path = scratch_path(spark, "legend-sheet")
+    cell = lambda c: F.coalesce(F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')), F.lit(""))
+    body = legend(spark, sf).select(F.lit(5).alias("k"), F.concat_ws(",", cell("Code ID"), cell("COLEÇÃO 10 - CLASSES")).alias("value"))
+    titles = ["Legenda", "Coleção 10", "", '"Code ID","COLEÇÃO 10 - CLASSES"']
+    head = spark.createDataFrame(list(enumerate(titles)), "k int, value string")
+    # a sheet is one file
+    head.unionByName(body).orderBy("k").coalesce(1).select("value").write.text(path)
+    return read_sheet(spark, path, skip_rows=3)
+
+
 @query("roundtrip_csv", oracle("""
-SELECT municipio, bioma, CAST(sum(total_focos) AS VARCHAR) AS total_focos FROM fact GROUP BY 1, 2"""))
+SELECT municipio || chr(10) || '"' || bioma || '"' AS rotulo, CAST(sum(total_focos) AS VARCHAR) AS total_focos
+FROM fact GROUP BY municipio, bioma"""))
 def _(spark, sf):
     path = scratch_path(spark, "result")
-    write_csv(fact(spark, sf).groupBy("municipio", "bioma").agg(F.sum("total_focos").alias("total_focos")), path)
-    return read_csv(spark, path)
+    totals = fact(spark, sf).groupBy("municipio", "bioma").agg(F.sum("total_focos").alias("total_focos"))
+    write_csv(totals.select(F.expr("concat(municipio, chr(10), '\"', bioma, '\"')").alias("rotulo"), "total_focos"), path)
+    return read_csv(spark, path, multiline=True)
 
 
 @query("event_json", oracle(ENRICHED.replace("SELECT event_id, id_data", "SELECT id_data", 1)))

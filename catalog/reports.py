@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from emberline.operators import benchstats as B
+from emberline.session import materialize
 from fixtures import fixture, oracle
 
 
@@ -21,7 +22,8 @@ def _exact(column: str) -> str:
 STATISTICS = f"""
 SELECT consulta, armazenamento, nucleos, {_mean('cold')} AS media_cold_ms, {_mean('warm')} AS media_warm_ms,
   CASE WHEN {_exact('cold')} > 0
-       THEN round(({_exact('cold')} - {_exact('warm')}) / ({_exact('cold')}) * 100e0, 2) ELSE 0e0 END AS ganho_cache_pct
+       THEN round(({_exact('cold')} - {_exact('warm')}) / ({_exact('cold')}) * 100e0, 2) ELSE 0e0 END AS ganho_cache_pct,
+  max({{'r': rodada, 'l': linhas}}).l AS linhas
 FROM (SELECT *, CASE WHEN modo = 'cold' THEN ms END AS cold, CASE WHEN modo = 'warm' THEN ms END AS warm FROM runs)
 GROUP BY 1, 2, 3"""
 
@@ -39,8 +41,9 @@ def _(spark, sf):
 SELECT armazenamento, nucleos, {_mean('media_cold_ms')} AS media_cold_ms, {_mean('media_warm_ms')} AS media_warm_ms
 FROM ({STATISTICS}) GROUP BY 1, 2"""))
 def _(spark, sf):
+    stored = materialize(statistics(spark, sf), "statistics")
     per_scenario = {
-        (storage, cores): statistics(spark, sf)
+        (storage, cores): stored
         .filter((F.col("armazenamento") == storage) & (F.col("nucleos") == cores))
         .drop("armazenamento", "nucleos")
         for storage in ("fragmentado", "compactado")
@@ -73,7 +76,7 @@ def _(spark, sf):
 
 @query("report_table", oracle(f"""
 SELECT replace(replace(consulta, '_Cenario', ''), '_', ' ') AS consulta, printf('%.2f', media_cold_ms) AS cold,
-  printf('%.2f', media_warm_ms) AS warm, printf('%.2f', ganho_cache_pct) || '%' AS ganho, CAST(nucleos AS VARCHAR) AS linhas
+  printf('%.2f', media_warm_ms) AS warm, printf('%.2f', ganho_cache_pct) || '%' AS ganho, CAST(linhas AS VARCHAR) AS linhas
 FROM ({STATISTICS})"""))
 def _(spark, sf):
-    return B.report_table(statistics(spark, sf), "_Cenario", rows="nucleos")
+    return B.report_table(statistics(spark, sf), "_Cenario", rows="linhas")

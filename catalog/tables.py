@@ -9,7 +9,7 @@ from catalog.inputs import cleaned, context
 from emberline.functions.columns import drop_missing, fill_defaults, tolerant_select
 from emberline.operators.ids import surrogate_id
 from emberline.operators.landcover import clean_legend, cover_history, latest_cover
-from emberline.operators.lookups import cover_by_territory, legend_join, star_lookup
+from emberline.operators.lookups import cover_by_territory, legend_join, locality_lookup, star_lookup
 from emberline.operators.rollup import NO_LAND, NO_LINE
 from emberline.plans.enrichment import enriched_record, locate
 from emberline.plans.infrastructure_dims import HOSPITAL_COLUMNS, HOSPITAL_DEFAULTS
@@ -142,3 +142,18 @@ def _(spark, sf):
 SELECT CAST(n_nationkey + 1 AS BIGINT) AS codigo_ti, n_name || ' E' AS nome_limpo, 'TERRA ' || n_name AS nome FROM nation""")
     joined = cover_by_territory(lands, cover, "nome_limpo", "nome_ti_limpo")
     return joined.select("nome", "codigo_ti", "categoria_macro", "area_hectares")
+
+
+_LOCALITIES = """
+SELECT 'ESTADO ' || CAST(k % 3 AS STRING) || '_SAO JOAO ' || CAST(k % 4 AS STRING) AS chave_localidade, 100 + k AS codigo_ibge,
+  -10e0 - k AS lat_centroide FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation)"""
+
+
+@query("locality_lookup", oracle(f"""
+SELECT event_id, estado || '_' || municipio AS chave_localidade, m.codigo_ibge, m.lat_centroide
+FROM clean LEFT JOIN (
+  SELECT chave_localidade, min(codigo_ibge) AS codigo_ibge, arg_min(lat_centroide, codigo_ibge) AS lat_centroide FROM ({_LOCALITIES}) GROUP BY 1
+) m ON m.chave_localidade = estado || '_' || municipio"""))
+def _(spark, sf):
+    hotspots = cleaned(spark, sf).select("event_id", "chave_localidade")
+    return locality_lookup(hotspots, fixture(spark, sf, _LOCALITIES), ["codigo_ibge", "lat_centroide"])

@@ -31,14 +31,14 @@ def _rounded_mean(total: Column, count: Column) -> Column:
 def run_statistics(runs: DataFrame, keys: Iterable[str] = ("consulta", "armazenamento", "nucleos")) -> DataFrame:
     """Mean cold and warm time and the cache gain in percent per query.
 
-    With a column ``linhas`` (rows returned by the run) the last count is kept as ``linhas``.
+    With a column ``linhas`` (rows returned by the run) the count of the last run is kept, the largest if there are several.
     """
     keys = list(keys)
     parts = []
     for mode in MODES:
         total, count = _total_and_count(F.when(F.col("modo") == mode, F.col("ms")))
         parts += [total.alias(f"_{mode}_total"), count.alias(f"_{mode}_count")]
-    extra = [F.max_by("linhas", "rodada").alias("linhas")] if "linhas" in runs.columns else []
+    extra = [F.max(F.struct("rodada", "linhas"))["linhas"].alias("linhas")] if "linhas" in runs.columns else []
     sums = runs.groupBy(*keys).agg(*parts, *extra)
     mean = {m: F.col(f"_{m}_total") / F.nullif(F.col(f"_{m}_count"), F.lit(0)) for m in MODES}
     return sums.select(

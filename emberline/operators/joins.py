@@ -28,7 +28,9 @@ def salted_left_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Da
     unknown = reduce(or_, [F.col(c).isNull() for c in on])
     salt = F.when(unknown, F.pmod(F.xxhash64(*others), F.lit(NULL_SALTS))).otherwise(F.lit(0))
     spread = left.withColumn("_salt", salt.cast("int"))
-    return spread.join(right.withColumn("_salt", F.lit(0)), [*on, "_salt"], "left").drop("_salt")
+    # always 0, but no literal: Catalyst would turn the comparison with one into a filter and drop it from the join key
+    zero = F.pmod(F.xxhash64(*on), F.lit(1)).cast("int")
+    return spread.join(right.withColumn("_salt", zero), [*on, "_salt"], "left").drop("_salt")
 
 
 def sized_left_join(left: DataFrame, right: DataFrame, on: Sequence[str], row_bytes: int = 1024) -> DataFrame:

@@ -27,6 +27,16 @@ def star_lookup(df: DataFrame, lookups: list[tuple[str, DataFrame, str, str, str
     return df
 
 
+def locality_lookup(df: DataFrame, municipalities: DataFrame, columns: list[str], key: str = "chave_localidade") -> DataFrame:
+    """Add ``columns`` of the municipality that state and name in ``key`` spell; null where none does.
+
+    A key that several municipalities share never multiplies rows: the smallest values, in the order of ``columns``, win.
+    """
+    chosen = municipalities.groupBy(key).agg(F.min(F.struct(*columns)).alias("_municipality"))
+    joined = sized_left_join(df, chosen, [key], row_bytes=512)
+    return joined.select(*df.columns, *[F.col(f"_municipality.{c}").alias(c) for c in columns])
+
+
 def legend_join(cover: DataFrame, legend: DataFrame, key: str = "class_id") -> DataFrame:
     """Land cover with its legend, left join. Missing codes match missing codes.
 

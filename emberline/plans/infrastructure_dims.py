@@ -20,7 +20,7 @@ from emberline.functions.text import (
 from emberline.operators.ids import surrogate_id
 from emberline.operators.joins import sized_left_join
 
-# Both naming schemes of the road sources.
+# Both naming schemes of the road sources.
 ROAD_COLUMNS = {
     "sigla": "codigo_rodovia", "vl_br": "codigo_rodovia",
     "jurisdicao": "jurisdicao", "ds_jurisdi": "jurisdicao",
@@ -31,6 +31,7 @@ ROAD_COLUMNS = {
 }
 ROAD_FIELDS = ("codigo_rodovia", "jurisdicao", "revestimento", "tipo_pavimento", "situacao_fisica", "status_operacional")
 
+# Columns of the health registry, and what stands for a missing cell.
 HOSPITAL_COLUMNS = (
     "CO_CNES", "NO_FANTASIA", "CO_MUNICIPIO_GESTOR", "TP_UNIDADE", "TP_ESTAB_SEMPRE_ABERTO", "NU_LATITUDE",
     "NU_LONGITUDE",
@@ -46,7 +47,12 @@ HOSPITAL_DEFAULTS = {
 
 def roads(features: DataFrame) -> DataFrame:
     """``dim_rodovias_federais``. The source ``ID`` is kept where the features have one, else ids are numbered in
-    the order of the columns."""
+    the order of the columns. Of a field that stands under the names of both schemes the first is used."""
+    known: dict[str, str] = {}
+    for name, field in ROAD_COLUMNS.items():
+        if name in features.columns and field not in known.values():
+            known[name] = field
+    features = features.drop(*[n for n in ROAD_COLUMNS if n not in known])
     shaped = features.withColumn("geometria_wkt", wkt_from_parts(F.col("geometry_type"), F.col("parts"), None))
     found = tolerant_select(shaped, ["ID", *ROAD_COLUMNS, "geometria_wkt"], ROAD_COLUMNS)
     clean = found.withColumns(

@@ -31,7 +31,8 @@ SELECT event_id,
          || substr(CAST(ts AS STRING), 1, 4) || ' ' || moment
        ELSE substr(CAST(ts AS STRING), 1, 10) || ' ' || moment END AS DataHora,
   CASE WHEN event_id % 89 = 0 THEN NULL ELSE 'Estado ' || CAST(place % 3 AS STRING) END AS Estado,
-  CASE WHEN event_id % 83 = 0 THEN '   ' ELSE ' São João ' || CAST(place AS STRING) END AS Municipio,
+  CASE WHEN event_id % 83 = 0 THEN '   ' WHEN event_id % 79 = 0 THEN ' São' || chr(10) || 'João, "' || CAST(place AS STRING) || '"'
+       ELSE ' São João ' || CAST(place AS STRING) END AS Municipio,
   CASE WHEN event_id % 103 = 0 THEN NULL WHEN event_id % 107 = 0 THEN CAST('NaN' AS DOUBLE)
        WHEN event_id % 10 <> 0 THEN -30e0 + place * 7e0 + (event_id % 7) / 1e3
        WHEN event_id % 250 = 0 THEN -70e0 + ((event_id * 7919) % 130000) / 1e3
@@ -202,7 +203,7 @@ SELECT CASE WHEN event_id % 6 = 4 THEN 'BI_2_FUNAI_Cenario' ELSE 'Bench_' || CAS
   CASE WHEN CAST(floor(event_id / 6e0) AS BIGINT) % 2 = 0 THEN 'fragmentado' ELSE 'compactado' END AS armazenamento,
   CAST(2 + 2 * (CAST(floor(event_id / 12e0) AS BIGINT) % 3) AS INT) AS nucleos,
   CASE WHEN CAST(floor(event_id / 36e0) AS BIGINT) % 2 = 0 THEN 'cold' ELSE 'warm' END AS modo,
-  CAST(1 + CAST(floor(event_id / 72e0) AS BIGINT) % 7 AS INT) AS rodada, value AS ms
+  CAST(1 + CAST(floor(event_id / 72e0) AS BIGINT) % 7 AS INT) AS rodada, value AS ms, event_id % 50 AS linhas
 FROM events""",
 }
 

@@ -23,7 +23,7 @@ def test_enrichment_is_broadcast_and_free_of_python(spark):
 def test_enrichment_reads_only_the_needed_columns(spark):
     points = cleaned(spark, SF).select("event_id", "latitude", "longitude")
     text = plan(locate(points, context(spark, SF)).select("event_id", "id_linha_transmissao"))
-    assert "ReadSchema: struct<event_id:bigint>" in text
+    assert "ReadSchema: struct<event_id:bigint,user_id:bigint>" in text
 
 
 def test_rankings_push_filters_and_take_ordered(spark):

@@ -87,7 +87,7 @@ def test_nearest_ties_and_copies(spark):
 def test_nearest_far_from_all_features_is_exact(spark):
     rnd = random.Random(8)
     segments, _ = random_case(4, 150, 1)
-    points = [(rnd.uniform(-2e7, 3e7), rnd.uniform(-2e7, 4e7)) for _ in range(300)] + [(5e6, 1e7), (1e9, -1e9), (4e6 - 4e5, 9e6)]
+    points = [(rnd.uniform(-2e7, 3e7), rnd.uniform(-2e7, 4e7)) for _ in range(300)] + [(5e6, 1e7), (6e7, -5e7), (4e6 - 4e5, 9e6)]
     assert probe(spark, segments, points) == brute_nearest(points, segments)
     assert probe(spark, [(1, 5e6, 9e6, 5e6, 9e6)], [(2e7, 9e6), (float("nan"), 9e6)]) == [(1, 15000.0), (-1, -1.0)]
 
