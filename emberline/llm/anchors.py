@@ -43,17 +43,30 @@ def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
+def _repetitive(data: np.ndarray, gram: int) -> np.ndarray:
+    """For each gram, whether its first half stands in it a second time, as in text that repeats a few words."""
+    half = gram // 2
+    hashes = gram_hashes(data, half)
+    number = len(data) - gram + 1
+    out = np.zeros(number, bool)
+    for step in range(1, half + 1):
+        out |= hashes[:number] == hashes[step : step + number]
+    return out
+
+
 def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each string of ``length`` bytes of ``data``, the smallest hash of ``gram`` bytes within; leftmost if several are.
 
-    Returns the runs of string starts that share one: hash, place of the gram, first and last start. Equal strings have equal
-    grams at equal distances from their starts, wherever they stand. At most CHUNK starts are handled at a time.
+    Repetitive grams count as larger than all others, so that a string which reaches beyond a repetition has its anchor
+    there and not in the repetition, which it may share with many texts. Returns the runs of string starts that
+    share an anchor: hash, place of the gram, first and last start. Equal strings have equal grams at equal distances from
+    their starts, wherever they stand. At most CHUNK starts are handled at a time.
     """
     out = []
     for at in range(0, max(0, len(data) - length + 1), CHUNK):
         part = data[at : at + CHUNK + length - 1]
         hashes = gram_hashes(part, gram)
-        keys = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
+        keys = (_repetitive(part, gram).astype(np.uint64) << np.uint64(63)) | ((hashes >> np.uint64(1)) & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
         place = (window_minima(keys, length - gram + 1) & _PLACE).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         last = np.concatenate([first[1:], [len(place)]]) - 1

@@ -27,8 +27,12 @@ BLOCK = pa.schema([
     ("before", pa.binary()), ("suffix", pa.binary()), ("firsts", pa.list_(pa.int64())), ("places", pa.list_(pa.int64())),
 ])
 BLOCK_DDL = "key long, size long, anchor long, start long, before binary, suffix binary, firsts array<long>, places array<long>"
-FOUND = pa.schema([("key", pa.int64()), ("size", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("content", pa.binary())])
-FOUND_DDL = "key long, size long, first long, last long, content binary"
+FOUND = pa.schema([("key", pa.int64()), ("size", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+FOUND_DDL = "key long, size long, first long, last long"
+SORTED = pa.schema([*FOUND, ("shard", pa.int64()), ("border", pa.binary())])
+SORTED_DDL = f"{FOUND_DDL}, shard long, border binary"
+#: A string at a border: its digest, and the text and the place where it starts.
+BORDER = np.dtype([("a", "<u8"), ("b", "<u8"), ("key", "<i8"), ("size", "<i8"), ("place", "<i8")])
 
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
@@ -59,7 +63,7 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
 def _blocks(texts: DataFrame) -> DataFrame:
     """Cut out what the suffixes at the ``wanted`` anchors of each text need: LENGTH bytes from each start.
 
-    Neighbouring runs of starts whose anchors are equal, as in text that repeats one word, are one block.
+    Neighbouring runs of starts whose anchors are equal and overlap, as in text that repeats one word, are one block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +74,7 @@ def _blocks(texts: DataFrame) -> DataFrame:
                 hashes, places, firsts, lasts = anchors(np.frombuffer(data, np.uint8), LENGTH, GRAM)
                 signed = hashes.view(np.int64)
                 hit = np.isin(signed, np.asarray(wanted.as_py(), np.int64))
-                cut = np.concatenate([[True], (signed[1:] != signed[:-1]) | (hit[1:] != hit[:-1])]) if len(hit) else hit
+                cut = np.concatenate([[True], (signed[1:] != signed[:-1]) | (hit[1:] != hit[:-1]) | (np.diff(places) >= GRAM)]) if len(hit) else hit
                 edges = np.append(np.flatnonzero(cut), len(hit))
                 for i, j in zip(edges[:-1], edges[1:], strict=True):
                     if hit[i]:
@@ -146,7 +150,7 @@ def equal_suffixes(words: np.ndarray, at: np.ndarray, group: np.ndarray) -> tupl
     return np.concatenate(done), np.repeat(np.arange(len(each)), each)
 
 
-def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """Sort the suffixes of one range; see ``repeated_starts`` for what comes out."""
     table = pa.Table.from_batches(list(batches), BLOCK)
     if not table.num_rows:
@@ -154,14 +158,13 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = table.take(pa.array(np.argsort(table.column("anchor").to_numpy(), kind="stable")))
     anchor = table.column("anchor").to_numpy()
     before, suffix = (table.column(c).to_pylist() for c in ("before", "suffix"))
-    leads = [s[:GRAM] for s in suffix]
-    border = {min(leads), max(leads)}
+    border = _border(suffix)
     sizes = np.array([len(b) + len(s) for b, s in zip(before, suffix, strict=True)])
     number = sizes - LENGTH + 1  # suffixes of a block
     firsts, places = (table.column(c).to_pylist() for c in ("firsts", "places"))
     key, size, start = (table.column(c).to_numpy() for c in ("key", "size", "start"))
     groups = np.append(np.concatenate([[0], np.flatnonzero(np.diff(anchor)) + 1]), len(anchor))
-    lo = 0
+    lo, outside = 0, []
     while lo < len(groups) - 1:
         hi = lo + 1
         total = number[groups[lo] : groups[hi]].sum()
@@ -179,7 +182,7 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.unique(anchor[own], return_inverse=True)[1][block] * LENGTH + distance
         repeated = np.zeros(len(at), bool)
         heads = [np.zeros(0, np.int64)]
-        edge = np.array([lead in border for lead in leads[own]])[block]
+        edge = LENGTH - distance <= border[own][block]
         for part in _parts(group):
             same, segment = equal_suffixes(words, at[part], group[part])
             same = part[same]
@@ -189,21 +192,58 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 alone[np.isin(part, same)] = False
                 lead = same[np.concatenate([[True], segment[1:] != segment[:-1]])] if len(same) else same
                 heads += [part[alone], lead[edge[lead]]]
-        rows = []
         hit = np.flatnonzero(repeated)
         if len(hit):
             cut = np.concatenate([[True], (np.diff(hit) > 1) | (np.diff(block[hit]) > 0)])
             first, last = hit[cut], hit[np.append(np.flatnonzero(cut)[1:] - 1, len(hit) - 1)]
             b = block[first] + own.start
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[b]), pa.array(size[b]), pa.array(start[b] + inside[first]), pa.array(start[b] + inside[last]), pa.nulls(len(b), pa.binary())], schema=FOUND
-            )
-        for i in np.concatenate(heads):
-            b = block[i] + own.start
-            place = int(start[b] + inside[i])
-            rows.append((int(key[b]), int(size[b]), place, place, hashlib.blake2b(data[at[i] : at[i] + LENGTH], digest_size=16).digest()))
-        if rows:
-            yield _batch(rows, FOUND)
+            runs = [pa.array(x) for x in (key[b], size[b], start[b] + inside[first], start[b] + inside[last])]
+            yield pa.RecordBatch.from_arrays([*runs, pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.binary())], schema=SORTED)
+        given = np.concatenate(heads)
+        if len(given):
+            rows, b = np.empty(len(given), BORDER), block[given] + own.start
+            digests = b"".join(hashlib.blake2b(data[at[i] : at[i] + LENGTH], digest_size=16).digest() for i in given)
+            rows["a"], rows["b"] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+            rows["key"], rows["size"], rows["place"] = key[b], size[b], start[b] + inside[given]
+            outside.append(rows)
+    if outside:
+        rows = np.concatenate(outside)
+        shard = (rows["a"] % np.uint64(shards)).astype(np.int64)
+        rows, shard = rows[order := np.argsort(shard, kind="stable")], shard[order]
+        cuts = np.append(np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1]), len(shard))
+        packed = [rows[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        empty = [pa.nulls(len(packed), pa.int64())] * 4
+        yield pa.RecordBatch.from_arrays([*empty, pa.array(shard[cuts[:-1]]), pa.array(packed, pa.binary())], schema=SORTED)
+
+
+def _across(table: pa.Table) -> pa.Table:
+    """Of the strings of one shard those that two buckets give."""
+    rows = np.concatenate([np.frombuffer(b.as_buffer(), BORDER) for b in table.column("border")])
+    rows = rows[np.lexsort((rows["b"], rows["a"]))]
+    same = (rows["a"][1:] == rows["a"][:-1]) & (rows["b"][1:] == rows["b"][:-1])
+    rows = rows[np.append(same, False) | np.append(False, same)]
+    return pa.Table.from_arrays([pa.array(rows[c]) for c in ("key", "size", "place", "place")], schema=FOUND)
+
+
+def _border(suffix: list[bytes]) -> np.ndarray:
+    """How many bytes of each suffix another bucket may hold too, 0 if fewer than an anchor.
+
+    Suffixes that begin alike are neighbours in the order of the ranges, so a beginning that goes on in another bucket is also
+    one of the first or last suffix of this one. An anchor that overlaps itself may stand in a block at another
+    place than the one the block is sorted by; under it any string may be elsewhere.
+    """
+    common = np.zeros(len(suffix), np.int64)
+    for end in {min(suffix), max(suffix)}:
+        lead = end[:GRAM]
+        overlaps = any(lead[p:] == lead[:-p] for p in range(1, GRAM))
+        edge = np.frombuffer(end, np.uint8)
+        for k, one in enumerate(suffix):
+            if one.startswith(lead):
+                n = min(len(one), len(end))
+                differ = np.frombuffer(one, np.uint8, n) != edge[:n]
+                first = int(differ.argmax()) if differ.any() else n
+                common[k] = max(common[k], LENGTH if overlaps else first)
+    return common
 
 
 def _parts(group: np.ndarray) -> Iterator[np.ndarray]:
@@ -227,9 +267,10 @@ def repeated_starts(docs: DataFrame, key: DataFrame) -> DataFrame:
     Every string of LENGTH bytes has an anchor, the GRAM bytes in it with the smallest hash, so that equal strings have equal
     anchors at equal distances. Only strings whose anchor occurs twice are looked at. Their suffixes are range-partitioned by
     the bytes from the anchor on; Spark samples the splitters. A bucket sorts its suffixes by multikey quicksort and marks
-    neighbours that agree in LENGTH bytes. Suffixes under the first and last anchor of a bucket may continue in the
-    next one, as a passage that many texts share is spread over many buckets: of these each bucket gives every distinct
-    string once, by digest, and strings that two buckets give are repeated too.
+    neighbours that agree in LENGTH bytes. A passage that many texts share is spread over several buckets; of the strings
+    that begin like the first or last suffix of a bucket, and so may stand in the next one, each bucket gives every
+    distinct one once. They travel as digests, packed into a row for each bucket and shard of digests; strings that two
+    buckets give are repeated too.
     """
     found = materialize(_anchor_rows(docs), "suffix-anchors")
     repeated = found.groupBy("anchor").agg(F.min(F.struct("key", "size")).alias("a"), F.max(F.struct("key", "size")).alias("b"), F.max("many").alias("many"))
@@ -240,10 +281,9 @@ def repeated_starts(docs: DataFrame, key: DataFrame) -> DataFrame:
     total = key.agg(F.sum("size")).first()[0] or 0
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
     buckets = _blocks(texts).repartitionByRange(ranges, "suffix", "before", "key", "start")
-    sorted_ = materialize(buckets.mapInArrow(_bucket, FOUND_DDL), "suffix-buckets")
-    border = sorted_.filter("content IS NOT NULL")
-    twice = border.groupBy("content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("content")
-    return sorted_.filter("content IS NULL").drop("content").unionByName(border.join(twice, "content").drop("content"))
+    done = materialize(buckets.mapInArrow(lambda batches: _bucket(batches, ranges), SORTED_DDL), "suffix-buckets")
+    across = done.filter("border IS NOT NULL").select("shard", "border").groupBy("shard").applyInArrow(_across, FOUND_DDL)
+    return done.filter("border IS NULL").drop("shard", "border").unionByName(across)
 
 
 def cut_spans(text: bytes, runs: list[tuple[int, int]]) -> tuple[bytes, int, int]:
