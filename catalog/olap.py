@@ -25,6 +25,14 @@ def _(spark, sf):
     return A.hourly_series(fact(spark, sf))
 
 
+@query("bench1_recent_hours", oracle("""
+SELECT date_trunc('hour', __time) AS janela_hora, CAST(sum(total_focos) AS BIGINT) AS volume_focos_hora,
+  max(frp_maximo) AS pico_calor_registrado, min(dist_linha_minima_km) AS aproximacao_maxima_torres
+FROM fact GROUP BY 1 ORDER BY 1 DESC LIMIT 100"""))
+def _(spark, sf):
+    return A.recent_hourly_series(fact(spark, sf))
+
+
 @query("bench2_high_cardinality", oracle("""
 SELECT municipio, bioma, CAST(sum(total_focos) AS BIGINT) AS total_focos
 FROM fact GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 50"""))

@@ -3,6 +3,7 @@
 from catalog.inputs import cleaned, context, fact
 from emberline.operators import analytics as A
 from emberline.plans.enrichment import enriched_record, locate
+from emberline.sources.storage import write_by_year
 from fixtures import fixture
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +37,16 @@ def test_rankings_push_filters_and_take_ordered(spark):
 def test_metrics_read_two_columns(spark):
     text = plan(A.latency_summary(fixture(spark, SF, "metrics")))
     assert "props" not in text and "user_id" not in text
+
+
+def test_recent_hours_leave_older_years_unread(spark, tmp_path):
+    hours = spark.range(1000).selectExpr(
+        "timestamp '2022-12-01' + make_interval(0, 0, 0, 0, cast(id * 13 as int)) AS __time", "id AS total_focos", "1D AS frp_maximo", "2D AS dist_linha_minima_km"
+    )
+    path = str(tmp_path / "fact")
+    write_by_year(hours, path, sort=[])
+    table = spark.read.parquet(path)
+    recent = A.recent_hourly_series(table)
+    filters = [line for line in plan(recent).splitlines() if "PartitionFilters" in line]
+    assert filters and all("2024" in line and "2023" not in line for line in filters)
+    assert [tuple(r) for r in recent.collect()] == [tuple(r) for r in A.hourly_series(table).collect()]
