@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.common import WORD, let
-from emberline.session import materialize
+from emberline.session import broadcast_if_small, materialize
 
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 10
 #: Base-two logarithm of a sketch's registers; its standard error is 1.04 / sqrt(2 ** LG_K).
 LG_K = 10
+#: Upper estimate for a row of the table of shared lines, which is broadcast if its counted size allows.
+HASH_ROW_BYTES = 256
 #: Estimates within so many standard errors of the threshold are counted exactly.
 ERRORS = 4
 
@@ -36,7 +38,7 @@ def shared_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
         F.count(F.lit(1)).alias("n"), F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.min(F.struct("doc_id", "place")).alias("first")
     ).filter(F.col("n") >= min_sites).select("hash", "first", F.hll_sketch_estimate("sketch").alias("estimate"))
     spread = materialize(spread.filter(F.col("estimate") >= low), "line-spread")
-    near = spread.filter(F.col("estimate") <= high).select("hash")
+    near = broadcast_if_small(spread.filter(F.col("estimate") <= high).select("hash"), HASH_ROW_BYTES)
     pairs = lines.join(near, "hash", "left_semi").filter("site IS NOT NULL").select("hash", "site").distinct()
     exact = pairs.groupBy("hash").agg(F.count(F.lit(1)).alias("sites"))
     wide = spread.join(exact, "hash", "left").filter((F.col("sites") >= min_sites) | (F.col("sites").isNull() & (F.col("estimate") > high)))
@@ -57,7 +59,8 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_row")]
     rows = docs.select(*kept).withColumn("_row", F.xxhash64("doc_id", "text", F.col(site)))
     lines = materialize(_lines(rows, site), "lines")
-    shared = shared_lines(lines, min_sites, lg_k)
+    # a few boilerplate lines meet the others where they are; many are joined by hash
+    shared = broadcast_if_small(materialize(shared_lines(lines, min_sites, lg_k), "shared-lines"), HASH_ROW_BYTES)
     out = (
         lines.join(shared, "hash").filter(~F.struct("doc_id", "place").eqNullSafe(F.col("first")))
         .groupBy("_row", F.col("doc_id").alias("_doc")).agg(F.collect_set("place").alias("_places"))  # one entry per line of the text at most
