@@ -19,6 +19,8 @@ LENGTH = 400
 GRAM = 128
 #: Bytes of text for each range of suffixes, so that a bucket fits in a task whatever the size of the corpus.
 RANGE_BYTES = 16 << 20
+#: Leading bytes of a suffix that the ranges go by; the splitters that Spark samples are no longer than that.
+LEAD = 192
 #: Suffixes sorted at a time within a bucket.
 SUFFIXES = 400_000
 
@@ -229,7 +231,7 @@ def _border(suffix: list[bytes]) -> np.ndarray:
     """How many bytes of each suffix another bucket may hold too, 0 if fewer than an anchor.
 
     Suffixes that begin alike are neighbours in the order of the ranges, so a beginning that goes on in another bucket is also
-    one of the first or last suffix of this one. An anchor that overlaps itself may stand in a block at another
+    one of the first or last suffix of this one; those that agree in all LEAD bytes lie in any order. An anchor that overlaps itself may stand in a block at another
     place than the one the block is sorted by; under it any string may be elsewhere.
     """
     common = np.zeros(len(suffix), np.int64)
@@ -242,7 +244,7 @@ def _border(suffix: list[bytes]) -> np.ndarray:
                 n = min(len(one), len(end))
                 differ = np.frombuffer(one, np.uint8, n) != edge[:n]
                 first = int(differ.argmax()) if differ.any() else n
-                common[k] = max(common[k], LENGTH if overlaps else first)
+                common[k] = max(common[k], LENGTH if overlaps or first >= LEAD else first)
     return common
 
 
@@ -280,7 +282,7 @@ def repeated_starts(docs: DataFrame, key: DataFrame) -> DataFrame:
     texts = docs.join(wanted, ["key", "size"]).filter(F.col("doc_id").eqNullSafe(F.col("_first")))
     total = key.agg(F.sum("size")).first()[0] or 0
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
-    buckets = _blocks(texts).repartitionByRange(ranges, "suffix", "before", "key", "start")
+    buckets = _blocks(texts).repartitionByRange(ranges, F.substring("suffix", 1, LEAD), "key", "start")
     done = materialize(buckets.mapInArrow(lambda batches: _bucket(batches, ranges), SORTED_DDL), "suffix-buckets")
     across = done.filter("border IS NOT NULL").select("shard", "border").groupBy("shard").applyInArrow(_across, FOUND_DDL)
     return done.filter("border IS NULL").drop("shard", "border").unionByName(across)
