@@ -28,6 +28,11 @@ SAMPLE_LEAF = 12
 SPILL = 0.5
 #: A node whose larger side keeps more than this share is a leaf.
 SHRINK = 0.9
+#: A node is not split if both sides together hold more than this many times its rows, as those of a dense group would.
+GROWTH = 1.4
+#: Nor if the growths on the way from the root multiply to more than this, so that a tree holds at most so many rows a vector
+#: of the sample: the rows of its leaves, each divided by the product on its way, add up to the sample.
+COPIES = 16
 MAX_DEPTH = 40
 #: A larger leaf is cut into parts of about this many vectors; each two parts meet in one tile.
 TILE = 1500
@@ -73,25 +78,26 @@ def grow_tree(sample: np.ndarray, leaf: float, seed: int, margin: float) -> tupl
     projected = sample @ directions.T
     thresholds, low, high, levels, leaves = [], [], [], [], 0
 
-    def grow(rows: np.ndarray, level: int) -> int:
+    def grow(rows: np.ndarray, level: int, copies: float) -> int:
         nonlocal leaves
         if len(rows) > leaf and level < MAX_DEPTH:
             values = projected[rows, level]
             threshold = float(np.median(values))
             left, right = rows[values <= threshold + margin], rows[values > threshold - margin]
-            if max(len(left), len(right)) <= SHRINK * len(rows):
+            growth = (len(left) + len(right)) / len(rows)
+            if max(len(left), len(right)) <= SHRINK * len(rows) and growth <= GROWTH and copies * growth <= COPIES:
                 node = len(thresholds)
                 thresholds.append(threshold)
                 levels.append(level)
                 low.append(0)
                 high.append(0)
-                low[node], high[node] = grow(left, level + 1), grow(right, level + 1)
+                low[node], high[node] = grow(left, level + 1, copies * growth), grow(right, level + 1, copies * growth)
                 return node
-            return grow(rows, level + 1)
+            return grow(rows, level + 1, copies)
         leaves += 1
         return -leaves
 
-    grow(np.arange(len(sample)), 0)
+    grow(np.arange(len(sample)), 0, 1.0)
     tree = Tree(directions, np.array(thresholds, np.float32), np.array(low, np.int64), np.array(high, np.int64), np.array(levels, np.int64), margin)
     return tree, leaves
 

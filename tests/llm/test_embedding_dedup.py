@@ -67,3 +67,26 @@ def test_vectors_that_cannot_link(llm):
     assert all(got[i] == (0, i, True) for i in (3, 4, 5, 6, 10, 11, 12))
     assert run(llm, [(None, [1.0, 0.0]), (4, [1.0, 0.0])]) == {None: (0, None, True), 4: (0, 4, True)}
     assert run(llm, []) == {}
+
+
+def test_a_loose_dense_group_ends_in_few_leaves():
+    n, dense = 100_000, 33_333
+    rnd = np.random.default_rng(3)
+    noise, center = E._unit(rnd.standard_normal((n, 64))), E._unit(rnd.standard_normal((1, 64)))
+    chosen = np.sort(rnd.permutation(n)[: E.SAMPLE])
+    one, two = rnd.integers(0, dense, (2, 5000))
+    for cosine in (0.93, 0.945, 0.96):
+        vectors = noise.astype(np.float32)
+        vectors[:dense] = E._unit(np.sqrt(cosine) * center + np.sqrt(1 - cosine) * noise[:dense])
+        sample, together = vectors[chosen], np.zeros(len(one), bool)
+        for seed in (11, 12):
+            tree, leaves = E.grow_tree(sample, E.LEAF * len(sample) / n, seed, E.SPILL * float(np.sqrt(0.2) / 8))
+            assert leaves < 2000
+            row, leaf = tree.leaves(vectors)
+            assert len(row) <= 8 * n
+            held = np.unique(row * leaves + leaf)
+            reached = np.split(leaf[np.argsort(row, kind="stable")], np.cumsum(np.bincount(row, minlength=n))[:-1])
+            assert len(held) == len(row)
+            together |= np.array([bool(set(reached[a]) & set(reached[b])) for a, b in zip(one, two, strict=True)])
+        links = (vectors[one].astype(np.float64) * vectors[two]).sum(axis=1) >= E.MIN_COSINE
+        assert links.sum() > 4000 and together[links].mean() >= 0.9
