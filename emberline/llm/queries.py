@@ -12,6 +12,7 @@ from emberline.llm.bpe import encode_documents
 from emberline.llm.common import ready, table
 from emberline.llm.embedding_dedup import embedding_groups
 from emberline.llm.html_text import extract_text
+from emberline.llm.license_windows import scan_license_texts
 from emberline.llm.licenses import MIN_DICE, TEMPLATES, scan_licenses
 from emberline.llm.line_dedup import MIN_SITES, dedup_lines
 from emberline.llm.mixing import mix_sources
@@ -191,6 +192,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+@query("op8_license_text")
+def op8_license_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_license_texts(table(spark, sf_dir, "documents"))
+
+
 @query("op9_simhash")
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
