@@ -34,6 +34,8 @@ LEVEL = 3
 SAMPLES = 400
 SAMPLE_BYTES = 64 << 10
 DICTIONARY_BYTES = 64 << 10
+#: Archives are read by so many tasks at most, by one each if there are no more.
+READ_TASKS = 50_000
 #: Pages with fewer payload bytes are never revisits.
 MIN_REVISIT_BYTES = 0
 
@@ -234,8 +236,11 @@ def read_warc(spark: SparkSession, archives: DataFrame) -> DataFrame:
     A task streams whole archives and holds one record at a time. The payload is the HTTP body (of a revisit: empty),
     ``page_id`` the field ``X-Page-Id`` if there is one. A damaged frame, header, length or digest raises ``BadArchive``
     with the file and the offset. A null or repeated name is skipped or read once; no names give no rows.
+    The names are counted and dealt to as many tasks; adaptive execution, which would merge so few bytes into one task, leaves
+    an explicit number of partitions alone.
     """
     names = archives.filter("archive IS NOT NULL").select("archive").distinct()
+    names = names.repartitionByRange(max(1, min(names.count(), READ_TASKS)), "archive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("page_id", pa.int64()), ("target_uri", pa.string()), ("payload_digest", pa.string()), ("refers_to_id", pa.string()), ("payload", pa.binary())])

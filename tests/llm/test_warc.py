@@ -71,3 +71,14 @@ def test_damage_is_found():
     for stream in (archive(press(good)[:-3]), archive(press(good), b"junk"), archive(press(good), press(good)[:3])):
         with pytest.raises((W.BadArchive, zstandard.ZstdError)):
             list(W.Frames(stream))
+
+
+def test_several_tasks_read(llm, monkeypatch):
+    monkeypatch.setattr(W, "ARCHIVE_BYTES", 3000)
+    df = llm.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("<p>"), F.repeat(F.md5(F.col("id").cast("string")), 40)).alias("html"))
+    manifest = W.write_warc(df.repartition(3))
+    names = manifest.count()
+    assert names > 5
+    tasks = W.read_warc(llm, manifest.unionByName(manifest)).groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("archive").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    assert len(tasks) >= names * 2 // 3 and max(r["n"] for r in tasks) <= 3
+    assert sum(r["n"] for r in tasks) == names and sum(r["rows"] for r in tasks) == 300
