@@ -43,7 +43,8 @@ FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_wo
 BLOCK = "array<struct<text:string, words:double, link_density:double, prev_words:double, prev_link_density:double, next_words:double, next_link_density:double, aside:double, article:double, heading:double>>"
 
 #: The labelled table: the features of a block, then 1 for main text. ``aside`` and ``article`` say whether the block stands
-#: in an element of such a kind or name, ``heading`` whether it is one. Rows without either describe pages without names.
+#: in an element of such a kind or name, ``heading`` whether it is one. Rows without either describe pages without names. Link
+#: lists within an article are no main text, so that under the name of an article links and neighbours decide.
 LABELLED = """
 6 1.0 6 1.0 6 1.0 1 0 0 0
 1 1.0 0 0.0 1 1.0 1 0 0 0
@@ -145,6 +146,108 @@ LABELLED = """
 3 0.0 2 0.0 4 0.0 0 0 0 0
 3 0.0 2 1.0 2 1.0 0 0 1 0
 2 0.0 90 0.0 2 1.0 0 0 1 0
+6 1.0 6 1.0 6 1.0 0 1 0 0
+3 1.0 3 1.0 3 1.0 0 1 0 0
+1 1.0 1 1.0 1 1.0 0 1 0 0
+2 1.0 2 1.0 2 1.0 0 1 0 0
+8 1.0 9 1.0 7 1.0 0 1 0 0
+12 0.9 10 0.9 10 0.9 0 1 0 0
+5 0.8 6 0.9 4 1.0 0 1 0 0
+15 1.0 14 1.0 12 1.0 0 1 0 0
+4 1.0 60 0.0 4 1.0 0 1 0 0
+2 1.0 25 0.0 2 1.0 0 1 0 0
+7 1.0 90 0.0 8 1.0 0 1 0 0
+3 1.0 0 0.0 3 1.0 0 1 0 0
+4 1.0 4 1.0 60 0.0 0 1 0 0
+2 1.0 2 1.0 25 0.0 0 1 0 0
+9 1.0 8 1.0 40 0.0 0 1 0 0
+3 1.0 3 1.0 0 0.0 0 1 0 0
+10 0.9 12 1.0 0 0.0 0 1 0 0
+40 0.3 60 0.0 50 0.0 0 0 0 1
+30 0.4 40 0.1 50 0.2 0 0 0 1
+55 0.25 70 0.0 3 1.0 0 0 0 1
+25 0.35 30 0.3 40 0.3 0 0 0 1
+70 0.2 3 1.0 60 0.1 0 0 0 1
+22 0.4 60 0.0 0 0.0 0 0 0 1
+5 0.0 60 0.0 3 1.0 0 0 0 1
+4 0.0 45 0.0 2 1.0 0 0 0 1
+6 0.0 80 0.1 4 1.0 0 0 0 1
+3 0.0 30 0.0 5 1.0 0 0 0 1
+12 0.0 4 1.0 5 1.0 0 0 0 0
+15 0.0 6 1.0 4 1.0 0 0 0 0
+10 0.0 8 1.0 6 1.0 0 0 0 0
+9 0.0 3 1.0 3 1.0 0 0 0 0
+14 0.0 5 1.0 3 1.0 0 0 0 0
+11 0.0 3 1.0 3 1.0 0 0 0 0
+12 0.0 3 1.0 4 1.0 0 0 0 0
+2 0.5 0 0.0 24 0.0 0 0 0 0
+4 0.5 0 0.0 60 0.0 0 0 0 0
+6 0.6 50 0.0 8 0.5 0 0 0 0
+6 0.0 3 1.0 40 0.0 0 1 0 1
+3 0.0 5 1.0 4 0.0 0 1 0 1
+8 0.0 4 1.0 12 0.0 0 1 0 1
+2 0.0 1 1.0 3 0.0 0 1 0 1
+1 0.0 3 1.0 1 0.0 0 1 0 1
+1 0.0 30 0.0 1 0.0 0 1 0 1
+5 0.0 3 1.0 22 0.0 0 1 1 1
+2 0.0 3 1.0 60 0.0 0 1 1 1
+1 0.0 25 0.0 3 1.0 0 1 0 1
+2 0.0 1 0.0 3 1.0 0 1 0 1
+1 0.0 1 0.0 25 0.0 0 1 0 1
+3 1.0 22 0.0 22 0.0 0 1 0 1
+5 1.0 15 0.0 30 0.0 0 1 0 1
+2 1.0 20 0.0 18 0.0 0 1 0 1
+6 1.0 30 0.0 25 0.0 0 1 0 1
+4 1.0 12 0.0 40 0.0 0 1 0 1
+4 0.0 0 0.0 22 0.0 0 0 1 1
+5 0.0 3 1.0 40 0.0 0 0 1 1
+3 0.0 2 1.0 30 0.0 0 0 1 1
+6 0.0 0 0.0 60 0.0 0 0 0 1
+12 0.0 3 1.0 50 0.0 0 0 0 1
+8 0.0 4 1.0 25 0.0 0 0 0 1
+1 0.0 1 0.0 3 1.0 0 1 0 1
+1 0.0 1 0.0 25 0.0 0 1 0 1
+1 0.0 1 0.0 22 0.0 0 1 0 1
+2 0.0 6 0.0 3 1.0 0 1 0 1
+3 0.0 22 0.0 2 1.0 0 1 0 1
+1 0.0 22 0.0 3 1.0 0 1 0 1
+5 0.0 40 0.0 4 1.0 0 1 0 1
+4 0.0 3 0.0 1 1.0 0 1 0 1
+1 0.0 40 0.0 1 0.0 0 1 0 1
+1 0.0 1 0.0 1 0.0 0 1 0 1
+22 0.0 3 1.0 30 0.0 0 1 0 1
+1 0.0 3 1.0 1 0.0 0 1 0 1
+40 0.0 3 1.0 22 0.0 0 1 0 1
+4 0.0 2 1.0 3 0.0 0 1 0 1
+12 0.0 5 1.0 9 0.0 0 1 0 1
+1 0.0 1 0.0 3 1.0 0 1 0 1
+1 0.0 1 0.0 25 0.0 0 1 0 1
+1 0.0 1 0.0 22 0.0 0 1 0 1
+2 0.0 6 0.0 3 1.0 0 1 0 1
+3 0.0 22 0.0 2 1.0 0 1 0 1
+1 0.0 22 0.0 3 1.0 0 1 0 1
+5 0.0 40 0.0 4 1.0 0 1 0 1
+4 0.0 3 0.0 1 1.0 0 1 0 1
+1 0.0 40 0.0 1 0.0 0 1 0 1
+1 0.0 1 0.0 1 0.0 0 1 0 1
+22 0.0 3 1.0 30 0.0 0 1 0 1
+1 0.0 3 1.0 1 0.0 0 1 0 1
+40 0.0 3 1.0 22 0.0 0 1 0 1
+4 0.0 2 1.0 3 0.0 0 1 0 1
+12 0.0 5 1.0 9 0.0 0 1 0 1
+22 0.0 3 1.0 3 1.0 0 0 0 1
+1 0.0 22 0.0 22 0.0 0 1 0 1
+2 0.0 0 0.0 22 0.0 0 0 1 1
+3 0.0 3 1.0 40 0.0 0 0 1 1
+2 0.0 3 1.0 30 0.0 0 0 1 1
+2 0.0 22 0.0 25 0.0 0 0 1 1
+3 0.0 60 0.0 40 0.0 0 0 1 1
+1 0.0 40 0.0 30 0.0 0 0 1 1
+10 0.0 90 0.0 3 1.0 0 0 0 1
+12 0.0 100 0.0 0 0.0 0 0 0 1
+8 0.0 120 0.0 4 1.0 0 0 0 1
+5 0.0 100 0.0 3 1.0 0 0 0 1
+9 0.0 95 0.0 0 0.0 0 0 0 1
 """
 
 
@@ -185,6 +288,8 @@ class _Blocks:
         self.parts.append(decoded)
         if self.links:
             self.linked.append(decoded)
+        elif any(map(str.isspace, decoded)):
+            self.linked.append(" ")  # links on either side are words of their own
 
     def flush(self) -> None:
         words = "".join(self.parts).split()
@@ -280,7 +385,7 @@ def train(spark: SparkSession, table: str = LABELLED) -> tuple:
     """The decision tree learned from a labelled table: (feature, threshold, low branch, high branch) or (verdict,)."""
     rows = [list(map(float, line.split())) for line in table.strip().splitlines()]
     data = spark.createDataFrame([(Vectors.dense(r[:-1]), r[-1]) for r in rows], ["features", "label"]).coalesce(1)
-    model = DecisionTreeClassifier(maxDepth=5, maxBins=64, minInstancesPerNode=2, seed=7).fit(data)
+    model = DecisionTreeClassifier(maxDepth=7, maxBins=64, minInstancesPerNode=2, seed=7).fit(data)
 
     def node(at) -> tuple:
         if at.getClass().getSimpleName() == "LeafNode":

@@ -40,3 +40,20 @@ def test_long_and_broken_markup_ends():
     assert blocks("<b>" * 5000 + "x" + "</i>" * 5000)[0][0] == "x"
     assert blocks("<script>never ends <p>x") == [] and blocks("a<br>b<!-- never ends") and blocks("<![CDATA[x]]>")[0][0] == "x"
     assert [b[0] for b in blocks('<a href="a>b" title=\'c>d\'>x</a> y')] == ["x y"]
+
+
+def test_link_lists_in_an_article_go_and_linked_paragraphs_on_plain_pages_stay(llm):
+    long = "A paragraph that goes on for a while and has enough words to count as the main text of this page, we hope."
+    linked = f"{long} It has <a href=1>a link of many words that stand</a> in it too and goes on."
+    menu = "<ul>" + "".join(f"<li><a href={i}>menu entry {i}</a>" for i in range(6)) + "</ul>"
+    notice = "<p>Please read our terms before you go on to these pages.</p>"
+    plain = linked.replace("<a href=1>", "").replace("</a>", "")
+    rows = [
+        (1, f"<article>{menu}<p>{long}</p><p>{linked}</p>{menu}<p>Short.</p><ul><li>one<li>two</ul><p>{long}</p>{menu}</article>", f"{long} {plain} Short. one two {long}"),
+        (2, f"<div class=content><h2>Head</h2><p>{long}</p><p><a href=1>One linked line</a></p><p>{long}</p></div>", f"Head {long} One linked line {long}"),
+        (3, f"<p>{long}</p><p>{linked}</p><p>{long}</p><p>It ends here.</p>{menu}", f"{long} {plain} {long} It ends here."),
+        (5, f"<h1>The title</h1><p>{long}</p><p>{long}</p>", f"The title {long} {long}"),
+        (6, f"{menu}<h1>The title</h1><p>{long}</p><p>{long}</p>", f"The title {long} {long}"),
+        (4, f"{menu}{notice}{menu}<p>{long}</p><p>{long}</p>", f"{long} {long}"),
+    ]
+    assert texts(llm, [(i, "u", page, None) for i, page, _ in rows]) == {i: want for i, _, want in rows}
