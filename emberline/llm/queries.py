@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from emberline.llm.bpe import encode_documents
 from emberline.llm.common import ready, table
+from emberline.llm.context_tree import score_texts
 from emberline.llm.embedding_dedup import embedding_groups
 from emberline.llm.html_text import extract_text
 from emberline.llm.license_windows import scan_license_texts
@@ -206,3 +207,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *BASE, "base_failed", "kept")
+
+
+@query("op12_lm_scoring")
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return score_texts(table(spark, sf_dir, "documents"), F.pmod(number, F.lit(5)) == 1)
