@@ -13,6 +13,7 @@ from emberline.llm.common import ready, table
 from emberline.llm.context_tree import score_texts
 from emberline.llm.embedding_dedup import embedding_groups
 from emberline.llm.html_text import extract_text
+from emberline.llm.lexical import TOP, rank_documents
 from emberline.llm.license_windows import scan_license_texts
 from emberline.llm.licenses import MIN_DICE, TEMPLATES, scan_licenses
 from emberline.llm.line_dedup import MIN_SITES, dedup_lines
@@ -213,3 +214,35 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     return score_texts(table(spark, sf_dir, "documents"), F.pmod(number, F.lit(5)) == 1)
+
+
+@query(
+    "op13_lexical_search",
+    rf"""
+    WITH words AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM documents
+    ),
+    postings AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+    sizes AS (SELECT doc_id, sum(tf) AS n FROM postings GROUP BY doc_id),
+    corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM sizes),
+    factors AS (SELECT doc_id, 50 + CAST(50 * n * docs AS BIGINT) // total AS m FROM sizes, corpus),
+    asked AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark
+    ),
+    weights AS (
+        SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(docs) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w
+        FROM postings, corpus GROUP BY term
+    ),
+    scored AS (
+        SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+        FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN factors USING (doc_id)
+        GROUP BY item_id, doc_id
+    ),
+    ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+    SELECT * FROM ranked WHERE rank <= {TOP}
+    """,
+)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
