@@ -12,6 +12,7 @@ from emberline.llm.bpe import encode_documents
 from emberline.llm.common import ready, table
 from emberline.llm.context_tree import score_texts
 from emberline.llm.embedding_dedup import embedding_groups
+from emberline.llm.hard_negatives import hard_negatives
 from emberline.llm.html_text import extract_text
 from emberline.llm.lexical import TOP, rank_documents
 from emberline.llm.license_windows import scan_license_texts
@@ -210,6 +211,41 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *BASE, "base_failed", "kept")
 
 
+@query(
+    "op11_hard_negatives",
+    """
+    WITH rows AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    ),
+    pairs AS (
+        SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label,
+            CAST(coalesce(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])), 0) AS BIGINT) AS score
+        FROM rows a JOIN rows b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+        WHERE a.vec_id % 100 = 0
+    ),
+    positives AS (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM pairs WHERE label = anchor_label)
+        WHERE place <= 5
+    ),
+    found AS (
+        SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+            CAST(row_number() OVER (PARTITION BY p.anchor_id, p.place ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank
+        FROM positives p JOIN pairs n ON p.anchor_id = n.anchor_id AND n.label <> n.anchor_label
+        WHERE 80 * p.score <= 100 * n.score AND n.score <= p.score
+    )
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 5
+    """,
+)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 @query("op12_lm_scoring")
 def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
