@@ -37,7 +37,7 @@ _STATE = f"{_ROW}, norm double, angles array<double>, cell int"
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), dim)
 
 
 def whole_vectors(table: DataFrame, anchors: Column) -> DataFrame:
@@ -88,7 +88,7 @@ def reference_directions(sample: np.ndarray, dim: int) -> np.ndarray:
             nearest = np.maximum(nearest, units @ units[at])
             at = int(nearest.argmin())
     rest = np.random.default_rng(dim).standard_normal((REFERENCES - len(out), dim))
-    return np.concatenate([np.array(out).reshape(-1, dim), unit_vectors(rest)[0]])
+    return np.concatenate([np.array(out).reshape(len(out), dim), unit_vectors(rest)[0]])
 
 
 def score_bounds(angles, norms, low_angles, high_angles, low_norms, high_norms) -> tuple[np.ndarray, np.ndarray]:
@@ -107,12 +107,15 @@ def score_bounds(angles, norms, low_angles, high_angles, low_norms, high_norms)
     with np.errstate(over="ignore", invalid="ignore"):
         small, large = norms[:, None] * low_norms[None, :], norms[:, None] * high_norms[None, :]
         slack = SCORE_SLACK * large + 1e-3
-        return np.where(upper > 0, large, small) * upper + slack, np.where(lower > 0, small, large) * lower - slack
+        upper = np.where(upper > 0, large, small) * upper + slack
+        lower = np.where(lower > 0, small, large) * lower - slack
+    return np.clip(upper, -(2.0**63), 2.0**63), np.clip(lower, -(2.0**63), 2.0**63)
 
 
 def exact_scores(vectors: np.ndarray, norms: np.ndarray, one: np.ndarray, norm: float) -> np.ndarray:
     """Inner products in whole numbers, cut to 64 bits."""
-    most = norm * norms.max(initial=0.0)
+    with np.errstate(over="ignore"):
+        most = norm * norms.max(initial=0.0)
     if most < 1 << 52:  # every partial sum is a whole number that a double holds
         return (vectors @ one).astype(np.int64)
     whole = [int(x) for x in one]
@@ -239,7 +242,7 @@ def _with_angles(rows: DataFrame) -> DataFrame:
     dim = common["dim"] if common else 0
     size = max(1, min(SAMPLE, SAMPLE_BYTES // max(1, 8 * dim)))
     chosen = rows.filter(F.col("dim") == dim).select("v").orderBy(F.xxhash64("v"), "v").limit(size).collect()
-    known = {dim: reference_directions(np.array([np.frombuffer(r["v"], np.float64) for r in chosen]).reshape(-1, dim), dim)}
+    known = {dim: reference_directions(np.array([np.frombuffer(r["v"], np.float64) for r in chosen]).reshape(len(chosen), dim), dim)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
