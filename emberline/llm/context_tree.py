@@ -26,7 +26,7 @@ END = b"\n"
 #: Texts are gathered and scored in chunks of about so many bytes; a longer text is a chunk of its own.
 CHUNK_BYTES = 32 << 20
 #: Bytes of text in a row of a chunk, and positions looked at in one go.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Grams and words are counted in parts, one for so many bytes of all texts.
 PART_BYTES = 16 << 20
 #: Log probabilities are summed as integers of this unit, so that no order of tasks or texts changes a sum.
