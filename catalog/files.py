@@ -16,6 +16,7 @@ from emberline.sources.readers import (
     read_facility_csv,
     read_geojson,
     read_geojson_lines,
+    read_large_geojson,
     read_sheet,
 )
 from emberline.sources.storage import compact_by_year, write_fragments
@@ -35,6 +36,14 @@ def _(spark, sf):
     return read_csv(spark, path, schema=RAW_HOTSPOT, multiline=True)
 
 
+@query("scan_csv_split", oracle("SELECT * EXCLUDE (event_id) FROM hotspots"))
+def _(spark, sf):
+    # one file, whose cells hold line ends and quotes, read by byte ranges
+    path = scratch_path(spark, "hotspots-one-csv")
+    write_csv(fixture(spark, sf, "hotspots").drop("event_id").coalesce(1), path)
+    return read_csv(spark, path, schema=RAW_HOTSPOT, multiline=True)
+
+
 @query("scan_csv_latin1", oracle("SELECT * FROM facilities"))
 def _(spark, sf):
     path = scratch_path(spark, "facilities-csv")
@@ -67,6 +76,15 @@ def _(spark, sf):
     return _features(read_geojson(spark, path, ["camada", "id"]))
 
 
+@query("scan_geojson_split", f"SELECT camada, id, {_TIDY} AS wkt FROM ({_GEOJSON})")
+def _(spark, sf):
+    # all features in one document
+    path = scratch_path(spark, "one-collection")
+    document = geojson_collections(fixture(spark, sf, _SHAPES), ["camada", "id"], per_page=1 << 30)
+    document.select("value").write.text(path)
+    return _features(read_large_geojson(spark, path, ["camada", "id"]))
+
+
 @query("sink_geojson", f"SELECT camada, id, {_TIDY} AS wkt FROM ({_GEOJSON})")
 def _(spark, sf):
     path = scratch_path(spark, "features")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberline.functions.geometry import parts_from_geojson
+from emberline.sources.ranges import geojson_features, split_csv
 
 
 def read_csv(
@@ -20,10 +21,13 @@ def read_csv(
 
     With one, its columns are picked by the header's names, in whatever order and among whatever others they stand;
     a bad cell or an absent column is null. Files whose headers differ from each other are refused. ``multiline`` is for sources
-    with line ends in quoted cells; such a file is read by one task.
+    with line ends in quoted cells; such files are read by byte ranges too (``split_csv`` has its rules).
     """
+    if multiline:
+        text = split_csv(spark, path, sep, encoding, glob)
+        return text if schema is None else pick_columns(text, schema)
     reader = spark.read.options(
-        header=True, sep=sep, encoding=encoding, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=False, multiLine=multiline
+        header=True, sep=sep, encoding=encoding, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=False
     )
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -90,13 +94,23 @@ def _feature_columns(features: DataFrame, properties: Sequence[str]) -> DataFram
 def read_geojson(spark: SparkSession, path: str, properties: Sequence[str]) -> DataFrame:
     """FeatureCollection documents, one row per feature.
 
-    A document is parsed by one task, so this suits paged files; use ``read_geojson_lines`` for large ones.
+    A document is parsed by one task, so this suits paged files; ``read_large_geojson`` reads one of any size by many tasks.
     """
     document = T.StructType([T.StructField("features", T.ArrayType(_feature_type(properties)))])
     documents = spark.read.schema(document).option("multiLine", True).json(path)
     return _feature_columns(documents.select(F.explode("features").alias("f")), properties)
 
 
+def read_large_geojson(spark: SparkSession, path: str, properties: Sequence[str]) -> DataFrame:
+    """The same rows as ``read_geojson``, from documents that are cut into byte ranges; a range needs no more memory than its features.
+
+    The files must be plain text (a compressed file is one range) and hold a collection each. Of a document that
+    breaks off, the features before the break are read.
+    """
+    features = geojson_features(spark, path).select(F.from_json("value", _feature_type(properties)).alias("f"))
+    return _feature_columns(features, properties)
+
+
 def read_geojson_lines(spark: SparkSession, path: str, properties: Sequence[str]) -> DataFrame:
     """Features stored one per line (with or without an enclosing collection); splits like any text file."""
     line = F.regexp_replace(F.trim("value"), ",$", "")
