@@ -20,6 +20,7 @@ from emberline.sources.readers import (
     read_sheet,
 )
 from emberline.sources.storage import compact_by_year, write_fragments
+from emberline.sources.versions import compact, newest, publish, read, replaced, stage
 from emberline.sources.writers import event_json, geojson_collections, write_csv, write_geojson
 from emberline.streaming.hotspots import parse_events
 from catalog.tables import YEARS, legend, located, wide_cover
@@ -188,3 +189,17 @@ def _(spark, sf):
     return compacted.groupBy("year", "risco_eletrico").agg(
         F.count(F.lit(1)).alias("linhas"), F.sum("quantidade").alias("quantidade")
     )
+
+
+@query("compact_small_files", """
+SELECT CAST(l_shipdate AS TIMESTAMP) AS __time, l_returnflag AS risco_eletrico, l_linestatus AS bioma, l_quantity AS quantidade, year(l_shipdate) AS ano
+FROM lineitem""")
+def _(spark, sf):
+    """A versioned table of many small files in three commits, compacted in place."""
+    path, rows = scratch_path(spark, "versioned"), shipments(spark, sf).withColumn("ano", F.year("__time"))
+    for part in range(3):
+        chosen = rows.filter(F.pmod(F.hash("quantidade"), F.lit(3)) == part)
+        base = newest(spark, path)
+        publish(spark, path, base, {"data": replaced(base, "data", stage(chosen.repartition(4), path, "data", ["ano"]), ())})
+    compact(spark, path, sort=["risco_eletrico", "bioma"])
+    return read(spark, path)

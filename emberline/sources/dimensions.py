@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from emberline.functions.numbers import to_number
 from emberline.schemas import DIMENSIONS, DimensionSpec
 from emberline.sources.readers import read_csv
+from emberline.sources.versions import replace_table
 
 
 def permissive(c: Column, source: T.DataType, target: T.DataType) -> Column:
@@ -40,8 +41,8 @@ def typed_dimension(df: DataFrame, spec: DimensionSpec | str) -> DataFrame:
 def load_dimension(spark: SparkSession, base_dir: str, name: str, target: str, glob: str | None = None) -> DataFrame:
     """Load the CSV files of a dimension from ``base_dir`` into the table folder ``target`` and return the table.
 
-    The whole table is replaced.
+    The whole table is replaced in one step: ``target`` is a versioned table, so its readers (``versions.read``) see the old rows
+    or the new ones, and a load that fails changes nothing.
     """
     typed = typed_dimension(read_csv(spark, base_dir, glob=glob or f"{name}*.csv"), name)
-    typed.write.mode("overwrite").parquet(target)
-    return spark.read.schema(typed.schema).parquet(target)
+    return replace_table(typed, target)
