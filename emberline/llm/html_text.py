@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,7 +38,11 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that the start of another of their kind closes.
 SELF_CLOSING = frozenset("p li dt dd td th tr option".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
+_NAME = re.compile(r"<(/?)(?=[a-zA-Z])")
+_REST = re.compile(r"[^\s/>]*")
+_SPECIAL = re.compile("[>\"']")
+#: A name that begins with one of these says what the element is about, or what it has, not what it is.
+ABOUT = frozenset("has with no is js category cat tag topic".split())
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-label)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 
 FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "aside", "article", "heading")
@@ -251,24 +257,89 @@ LABELLED = """
 """
 
 
+class _Ends:
+    """Where the tags of a page end: at the first ``>`` outside of quotes; a quote that is never closed is a character like others.
+
+    Where a tag ends from a quote or ``>`` on does not depend on where it began, so each of them is looked at once for the whole page.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.special = page, [m.start() for m in _SPECIAL.finditer(page)]
+        self.quotes = {q: [p for p in self.special if page[p] == q] for q in "\"'"}
+        self.known: dict[int, int] = {}
+
+    def after(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag which goes on at ``at``, or -1."""
+        k, passed, found = bisect_left(self.special, at), [], -1
+        while k < len(self.special):
+            if k in self.known:
+                found = self.known[k]
+                break
+            passed.append(k)
+            place = self.special[k]
+            if self.page[place] == ">":
+                found = place
+                break
+            same = self.quotes[self.page[place]]
+            closing = bisect_right(same, place)
+            k = bisect_left(self.special, same[closing]) + 1 if closing < len(same) else k + 1
+        self.known.update(dict.fromkeys(passed, found))
+        return found
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, tag, is an end tag, attributes) of each piece of markup; without a tag, the last is the text of a CDATA section.
+
+    Takes time in proportion to the page, whatever it holds: a ``<`` that begins no tag is found to be none without reading on.
+    """
+    ends, at = _Ends(page), page.find("<")
+    while at >= 0:
+        stop = at + 1
+        if page.startswith("<!--", at):
+            close = page.find("-->", at + 4)
+            stop = close + 3 if close >= 0 else len(page)
+            yield at, stop, "", False, ""
+        elif page.startswith("<![CDATA[", at):
+            close = page.find("]]>", at)
+            stop = close + 3 if close >= 0 else len(page)
+            yield at, stop, "", False, page[at + 9 : close if close >= 0 else len(page)]
+        elif page.startswith(("<!", "<?"), at):
+            close = page.find(">", at)
+            stop = close + 1 if close >= 0 else len(page)
+            yield at, stop, "", False, ""
+        elif begin := _NAME.match(page, at):
+            close = ends.after(begin.end())
+            if close >= 0:
+                name = _REST.match(page, begin.end(), close)
+                stop = close + 1
+                yield at, stop, name.group().lower(), bool(begin[1]), page[name.end() : close]
+        at = page.find("<", stop)
+
+
 def _kinds(tag: str, attrs: str) -> tuple[bool, bool, bool, bool]:
-    """Whether an element is aside, a comment, an article or hidden by its tag, class, id or role."""
+    """Whether an element is aside, a comment, an article or hidden by its tag, class, id or role.
+
+    A comment word counts anywhere in a name, other words for what is aside only at its ends; in an element that is
+    named as an article too they count only as whole names, and in an article element not at all.
+    """
     aside, comment, article, hidden = tag in ASIDE_TAGS, False, tag in ("article", "main"), False
     if attrs and tag not in ("html", "body"):
+        names = []
         for name, value in _ATTR.findall(attrs):
             if name.lower() == "hidden":
                 hidden = True
+            elif name.lower() != "aria-label":
+                names += value.strip("\"'").lower().split()
+        strict = any(one in ARTICLE_NAMES for one in names)
+        for one in names:
+            parts = re.split(r"[-_:]+|(?<=\D)(?=\d)", one)
+            if parts[0] in ABOUT and one != parts[0]:
                 continue
-            if name.lower() == "aria-label":
-                continue
-            for one in value.strip("\"'").lower().split():
-                parts = re.split(r"[-_:]+|(?<=\D)(?=\d)", one)
-                if parts[0] in ("has", "with", "no", "is", "js"):
-                    continue
-                ends = {parts[0], parts[-1], "".join(parts)}
-                comment = comment or bool(ends & COMMENT_NAMES)
-                aside = aside or bool(ends & ASIDE_NAMES)
-                article = article or (parts[-1] in ARTICLE_NAMES and not ends & ASIDE_NAMES)
+            whole = "".join(parts)
+            ends = {whole} if strict else {parts[0], parts[-1], whole}
+            comment = comment or bool({*parts, whole} & COMMENT_NAMES)
+            aside = aside or (tag not in ("article", "main") and bool(ends & ASIDE_NAMES))
+            article = article or (parts[-1] in ARTICLE_NAMES and not ends & ASIDE_NAMES)
     return aside, comment, article, hidden
 
 
@@ -279,8 +350,11 @@ class _Blocks:
         self.blocks: list[list] = []
         self.parts: list[str] = []
         self.linked: list[str] = []
-        #: open elements that matter: tag, aside, comment, article, what aside was before
-        self.open: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]
+        #: open elements: tag, how many around it are aside, comments, articles and headers of articles
+        self.open: list[tuple[str, int, int, int, int]] = [("", 0, 0, 0, 0)]
+        #: how many block elements of a name are open, and, for each open block, how many inline ones since it began
+        self.within: Counter[str] = Counter()
+        self.inline: list[Counter[str]] = [Counter()]
         self.links, self.heading = 0, 0
 
     def text(self, raw: str) -> None:
@@ -295,76 +369,77 @@ class _Blocks:
         words = "".join(self.parts).split()
         if words:
             inside = len("".join(self.linked).split())
-            _, aside, comment, article = self.open[-1]
-            self.blocks.append([" ".join(words), float(len(words)), min(1.0, inside / len(words)), float(bool(aside or comment)), float(article > 0), float(self.heading > 0)])
+            _, aside, comment, article, header = self.open[-1]
+            beside = aside or comment or (header and not self.heading)
+            self.blocks.append([" ".join(words), float(len(words)), min(1.0, inside / len(words)), float(bool(beside)), float(article > 0), float(self.heading > 0)])
         self.parts, self.linked = [], []
 
     def start(self, tag: str, attrs: str) -> None:
-        _, aside, comment, article = self.open[-1]
         own_aside, own_comment, own_article, hidden = _kinds(tag, attrs)
         if tag in SELF_CLOSING and self.open[-1][0] == tag:
             self.end(tag)
-            _, aside, comment, article = self.open[-1]
+        _, aside, comment, article, header = self.open[-1]
         if tag == "header":
             own_aside = not article
         if own_article and not own_aside and not own_comment and tag in ("article", "main") and not article:
             aside = 0  # a wrapper's name says nothing about the article in it
-        state = (tag, aside + (own_aside or hidden), comment + own_comment, article + own_article)
+        state = (tag, aside + (own_aside or hidden), comment + own_comment, article + own_article, header + (tag == "header" and article > 0))
         if tag not in INLINE or own_aside or own_comment or hidden:
             self.flush()
         self.open.append(state)
+        if tag in INLINE:
+            self.inline[-1][tag] += 1
+        else:
+            self.within[tag] += 1
+            self.inline.append(Counter())
         self.links += tag == "a"
         self.heading += tag in HEADINGS
 
     def end(self, tag: str) -> None:
+        if not (self.inline[-1] if tag in INLINE else self.within)[tag]:
+            return  # nothing of that name is open; an inline end tag closes nothing outside its block
         at = len(self.open) - 1
-        while at and self.open[at][0] != tag:
-            if tag in INLINE and self.open[at][0] not in INLINE:
-                return  # an inline end tag closes nothing outside its block
+        while self.open[at][0] != tag:
             at -= 1
-        if not at:
-            return
         if tag not in INLINE or self.open[at][1:3] != self.open[at - 1][1:3]:
             self.flush()
-        for name, *_ in self.open[at:]:
+        while len(self.open) > at:
+            name = self.open.pop()[0]
             self.links -= name == "a"
             self.heading -= name in HEADINGS
-        del self.open[at:]
+            if name in INLINE:
+                self.inline[-1][name] -= 1
+            else:
+                self.within[name] -= 1
+                self.inline.pop()
 
 
 def blocks(page: str) -> list[tuple]:
     """The blocks of a page in its order: text, then FEATURES."""
-    found, at, skip = _Blocks(), 0, None
-    for m in _TOKEN.finditer(page):
-        tag = (m["tag"] or "").lower()
-        if skip:
-            if m["end"] and tag == skip:
-                skip, at = None, m.end()
+    found, at = _Blocks(), 0
+    for start, end, tag, closes, attrs in _tokens(page):
+        if start < at:
             continue
-        if m.start() < at:
-            continue
-        if m.start() > at:
-            found.text(page[at : m.start()])
-        at = m.end()
-        if m["cdata"]:
-            found.text(m["cdata"])
+        if start > at:
+            found.text(page[at:start])
+        at = end
         if not tag:
-            continue
-        if m["end"]:
-            if tag in VOID or tag in SKIPPED:
-                if tag == "br":
-                    found.flush()
-                continue
-            found.end(tag)
+            if attrs:
+                found.text(attrs)
+        elif closes:
+            if tag == "br":
+                found.flush()
+            elif tag not in VOID and tag not in SKIPPED:
+                found.end(tag)
         elif tag in SKIPPED:
-            if not m["attrs"].endswith("/"):
-                skip, at = _skip(page, m.end(), tag)
+            if not attrs.endswith("/"):
+                at = _skip(page, end, tag)
         elif tag in VOID:
             if tag not in ("wbr", "img"):
                 found.flush()
         else:
-            found.start(tag, m["attrs"])
-    if skip is None and at < len(page):
+            found.start(tag, attrs)
+    if at < len(page):
         found.text(page[at:])
     found.flush()
     out = []
@@ -375,10 +450,10 @@ def blocks(page: str) -> list[tuple]:
     return out
 
 
-def _skip(page: str, at: int, tag: str) -> tuple[str | None, int]:
+def _skip(page: str, at: int, tag: str) -> int:
     """Where the content of a skipped element ends; an element that never ends takes the rest of the page."""
     end = re.compile(rf"</{re.escape(tag)}\s*>|\Z" if tag not in ("head", "title") else rf"</{tag}\s*>|<body\b|\Z", re.I).search(page, at)
-    return None, end.end() if end.group().startswith("</") else end.start()
+    return end.end() if end.group().startswith("</") else end.start()
 
 
 def train(spark: SparkSession, table: str = LABELLED) -> tuple:

@@ -1,4 +1,9 @@
-from emberline.llm.html_text import blocks, extract_text
+import random
+import time
+
+import pytest
+
+from emberline.llm.html_text import _tokens, blocks, extract_text
 
 PAGES = "page_id long, url string, html string, text string"
 
@@ -57,3 +62,55 @@ def test_link_lists_in_an_article_go_and_linked_paragraphs_on_plain_pages_stay(l
         (4, f"{menu}{notice}{menu}<p>{long}</p><p>{long}</p>", f"{long} {long}"),
     ]
     assert texts(llm, [(i, "u", page, None) for i, page, _ in rows]) == {i: want for i, _, want in rows}
+
+
+@pytest.mark.parametrize(
+    "piece", ["<a", '<a "', "<a ' \"", "<!--", "</b", "<b>", "<b></i>", "<b><div><i></b>", "<a href=\"x", "<p class='a", "<script", "<![CDATA[", "<p", '<a <b "c" \'d\'', "&", "<a" + " " * 50]
+)
+def test_time_grows_with_the_page(piece):
+    size = 200_000
+    for page in (piece * (size // len(piece)), '<a "' + "'" * size, "<a " + '"' * (size + 1), piece * (size // len(piece)) + '">"', "<i>" * (size // 6) + piece * (size // len(piece) // 2)):
+        start = time.process_time()
+        blocks(page)
+        assert time.process_time() - start < 5
+
+
+def test_tags_end_as_a_search_from_each_of_them_says():
+    def end(page, at):
+        while at < len(page):
+            if page[at] == ">":
+                return at + 1
+            if page[at] in "\"'" and page.find(page[at], at + 1) >= 0:
+                at = page.find(page[at], at + 1)
+            at += 1
+        return None
+
+    rnd = random.Random(5)
+    for _ in range(3000):
+        page = "".join(rnd.choice("<<a/>\"' =b") for _ in range(rnd.randint(1, 25)))
+        want, at = [], 0
+        while (at := page.find("<", at)) >= 0:
+            begin = at + 1 + (page[at + 1 : at + 2] == "/")
+            stop = end(page, begin) if page[begin : begin + 1].isalpha() else None
+            if stop:
+                want.append((at, stop))
+            at = stop or at + 1
+        assert [t[:2] for t in _tokens(page)] == want, page
+
+
+def test_names_that_say_what_a_text_is_about_do_not_drop_it(llm):
+    long = "A paragraph that goes on for a while and has enough words to count as the main text of this page, we hope."
+    said = "<p>I think this is a great article and I read it twice on the way to work this morning.</p>"
+    rows = [
+        (f'<article class="post category-legal tag-social"><p>{long}</p></article>', long),
+        (f'<div class="content social-impact"><p>{long}</p><p>{long}</p></div>', f"{long} {long}"),
+        (f'<article><p>{long}</p><div class="reader-comments-section">{said}</div></article>', long),
+        (f'<article><p>{long}</p><div class="user-comment-list">{said}</div><div id="comments2">{said}</div></article>', long),
+        (f'<article><header><h1>The title</h1><p>By someone, on a day in May, five minutes to read all of it</p></header><p>{long}</p></article>', f"The title {long}"),
+        (f'<main class="promo"><p>{long}</p></main>', long),
+        (f'<article class="has-comments no-sidebar"><p>{long}</p><div class="share-bar">Share it with all your friends</div></article>', long),
+        (f'<div class="content"><p>{long}</p><div class="content sidebar">{said}</div></div>', long),
+        (f'<header class="top"><p>{long}</p></header><article><p>{long}</p><footer>{said}</footer></article>', long),
+        (f'<div class="comment-thread"><article class="comment">{said}</article></div><article><p>{long}</p></article>', long),
+    ]
+    assert texts(llm, [(i, "u", page, None) for i, (page, _) in enumerate(rows)]) == {i: want for i, (_, want) in enumerate(rows)}
