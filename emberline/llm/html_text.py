@@ -38,6 +38,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that the start of another of their kind closes.
 SELF_CLOSING = frozenset("p li dt dd td th tr option".split())
 
+#: A tag without a ``<`` in it whose quotes are closed, as nearly all are.
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/>"'<]*+)((?:[^>"'<]|"[^"<]*+"|'[^'<]*+')*+)>""")
 _NAME = re.compile(r"<(/?)(?=[a-zA-Z])")
 _REST = re.compile(r"[^\s/>]*")
 _SPECIAL = re.compile("[>\"']")
@@ -292,10 +294,13 @@ def _tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
 
     Takes time in proportion to the page, whatever it holds: a ``<`` that begins no tag is found to be none without reading on.
     """
-    ends, at = _Ends(page), page.find("<")
+    ends, at = None, page.find("<")
     while at >= 0:
         stop = at + 1
-        if page.startswith("<!--", at):
+        if plain := _PLAIN.match(page, at):
+            stop = plain.end()
+            yield at, stop, plain[2].lower(), bool(plain[1]), plain[3]
+        elif page.startswith("<!--", at):
             close = page.find("-->", at + 4)
             stop = close + 3 if close >= 0 else len(page)
             yield at, stop, "", False, ""
@@ -308,6 +313,7 @@ def _tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
             stop = close + 1 if close >= 0 else len(page)
             yield at, stop, "", False, ""
         elif begin := _NAME.match(page, at):
+            ends = ends or _Ends(page)
             close = ends.after(begin.end())
             if close >= 0:
                 name = _REST.match(page, begin.end(), close)
