@@ -195,7 +195,8 @@ def write_warc(pages: DataFrame, min_revisit_bytes: int = MIN_REVISIT_BYTES) ->
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     dictionary = train_dictionary(rows)
     keyed = rows.withColumn("key", F.sha1("payload"))
-    firsts = keyed.groupBy("key").agg(F.min("page_id").alias("first"))
+    # stored, so that the join is free of the aggregation and Spark can split the partition of a payload that many pages share
+    firsts = materialize(keyed.groupBy("key").agg(F.min("page_id").alias("first")), "warc-firsts")
     shared = F.octet_length("payload") >= min_revisit_bytes
     decided = keyed.join(firsts, "key").select("page_id", "url", "payload", "first", (shared & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
     folder = scratch_path(spark, "warc")
