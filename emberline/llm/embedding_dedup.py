@@ -19,8 +19,12 @@ MIN_COSINE = 0.9
 TREES = 6
 #: A leaf holds about so many vectors, unless they lie too close together to be split.
 LEAF = 1000
-#: The trees are fitted on about so many vectors at most, chosen by hash; every vector is sent through them.
-SAMPLE = 40_000
+#: The trees are fitted on about so many vectors and so many bytes at most, chosen by hash; every vector is sent through them.
+SAMPLE, SAMPLE_BYTES = 40_000, 64 << 20
+#: So many lengths of vectors get trees, the most common ones with more vectors than a leaf; any other length is one leaf.
+LENGTHS = 64
+#: Leaves that the vectors of a tile are compared by at a time.
+SHARED = 4096
 #: A node is not split further below so many vectors of the sample.
 SAMPLE_LEAF = 12
 #: Width of the overlap to either side of a split, in standard deviations of the projected difference of a pair at
@@ -107,7 +111,24 @@ def _matrix(vectors: pa.Array, dtype) -> np.ndarray:
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    """The vectors at length one; scaled by their largest component first, so that no square over- or underflows."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True, initial=0)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
+def _share_smaller(leaf: int, lists: pa.ListArray) -> np.ndarray:
+    """Whether two vectors share a leaf with a smaller number than ``leaf``; the leaves are looked at SHARED at a time."""
+    owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    values = lists.flatten().to_numpy()
+    owner, values = owner[values < leaf], values[values < leaf]
+    known, column = np.unique(values, return_inverse=True)
+    shared = np.zeros((len(lists), len(lists)), bool)
+    for at in range(0, len(known), SHARED):
+        here = (column >= at) & (column < at + SHARED)
+        holds = np.zeros((len(lists), min(SHARED, len(known) - at)), np.float32)
+        holds[owner[here], column[here] - at] = 1
+        shared |= holds @ holds.T > 0
+    return shared
 
 
 def read_vectors(table: DataFrame) -> DataFrame:
@@ -122,8 +143,7 @@ def read_vectors(table: DataFrame) -> DataFrame:
                 data = None
                 if vec_id.is_valid and values and None not in values:
                     array = np.asarray(values, np.float64) + 0.0  # of the two zeros one
-                    norm = float(np.linalg.norm(array))
-                    data = array.tobytes() if np.isfinite(norm) and norm > 0 else None
+                    data = array.tobytes() if np.isfinite(array).all() and array.any() else None
                 raw.append(data)
                 keys.append(None if data is None else hashlib.blake2b(data, digest_size=16).digest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), pa.array(keys, pa.binary())], names=["vec_id", "v", "key"])
@@ -140,14 +160,7 @@ def _tile(min_cosine: float):
         ids, copies, part = (table.column(c).to_numpy() for c in ("id", "copies", "own"))
         one, two = table.column("first")[0].as_py(), table.column("second")[0].as_py()
         vectors = _unit(_matrix(table.column("v").combine_chunks(), np.float64))
-        # a pair that shares a leaf with a smaller number was counted there
-        lists = table.column("leaves").combine_chunks()
-        owner = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
-        values = lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
-        smaller = values < leaf
-        known, column = np.unique(values[smaller], return_inverse=True)
-        shares = np.zeros((len(ids), len(known)), np.float32)
-        shares[owner[smaller], column] = 1
+        shared = None
         root = np.arange(len(ids))
         links = np.zeros(len(ids), np.int64)
         for at in range(0, len(ids), ROWS):
@@ -158,7 +171,9 @@ def _tile(min_cosine: float):
             near[np.arange(near.shape[0]), np.arange(at, at + near.shape[0])] = False
             if not near.any():
                 continue
-            links[rows] += (near & (shares[rows] @ shares.T == 0)) @ copies
+            if shared is None:  # a pair that shares a leaf with a smaller number was counted there
+                shared = _share_smaller(leaf, table.column("leaves").combine_chunks())
+            links[rows] += (near & ~shared[rows]) @ copies
             i, j = np.nonzero(near)
             i = i + at
             while len(i):
@@ -183,37 +198,48 @@ def embedding_groups(table: DataFrame, min_cosine: float = MIN_COSINE, trees: in
     such as a dense group that no split parts, is cut into tiles that meet two by two: none is dropped. A pair that shares
     several leaves is counted in the first, so only sums and connecting edges are shuffled, no pairs.
 
-    A null, empty or zero vector, one with a null or non-finite component, and one whose length is not the most common (the
-    larger of two) links with nothing; so does a row without ``vec_id``, whose component is null. Repeated rows link like
-    any equal vectors; other columns are ignored; an empty table gives an empty result.
+    Only vectors of one length can link; each of the LENGTHS most common lengths has its own trees, if it has more vectors than
+    a leaf, and any other length is a leaf by itself. A null, empty or zero vector, and one with a null or non-finite
+    component, links with nothing; so does a row without ``vec_id``, whose component is null. Vectors of any other norm link. Repeated
+    rows link like any equal vectors; other columns are ignored; an empty table gives an empty result.
     """
     rows = materialize(read_vectors(table), "vectors")
-    lengths = rows.filter("v IS NOT NULL").groupBy(F.octet_length("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    usable = rows.filter(F.octet_length("v") == (lengths["n"] if lengths else 0))
+    usable = rows.filter("v IS NOT NULL")
     distinct = materialize(usable.groupBy("key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")), "vectors-distinct")
-    n = distinct.count()
-    chosen = distinct.filter(F.pmod(F.xxhash64("key"), F.lit(max(n, 1))) < SAMPLE).orderBy("key").select("v").collect()
-    sample = _unit(np.stack([np.frombuffer(r["v"], np.float64) for r in chosen])).astype(np.float32) if chosen else np.zeros((0, 1), np.float32)
-    margin = SPILL * float(np.sqrt(2 - 2 * min_cosine) / np.sqrt(sample.shape[1]))
-    forest, starts, total = [], [], 0
-    for t in range(trees):
-        tree, leaves = grow_tree(sample, max(SAMPLE_LEAF, LEAF * len(sample) / max(n, 1)), seed + t, margin)
-        forest.append(tree)
-        starts.append(total)
-        total += leaves
+    lengths = distinct.groupBy((F.octet_length("v") / 8).cast("int").alias("dim")).count().filter(F.col("count") > LEAF)
+    lengths = lengths.orderBy(F.desc("count"), F.desc("dim")).limit(LENGTHS).collect()
+    forests: dict[int, tuple[list[Tree], list[int]]] = {}
+    total = 0
+    for dim, n in ((r["dim"], r["count"]) for r in lengths):
+        size = max(2 * SAMPLE_LEAF, min(SAMPLE // len(lengths), SAMPLE_BYTES // (8 * dim)))
+        chosen = distinct.filter((F.octet_length("v") == 8 * dim) & (F.pmod(F.xxhash64("key"), F.lit(n)) < size)).orderBy("key").select("v").collect()
+        sample = _unit(np.array([np.frombuffer(r["v"], np.float64) for r in chosen]).reshape(len(chosen), dim)).astype(np.float32)
+        margin = SPILL * float(np.sqrt(2 - 2 * min_cosine) / np.sqrt(dim))
+        forest, starts = [], []
+        for t in range(trees):
+            tree, leaves = grow_tree(sample, max(SAMPLE_LEAF, LEAF * len(sample) / n), seed + t, margin)
+            forest.append(tree)
+            starts.append(total)
+            total += leaves
+        forests[dim] = forest, starts
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                vectors = _unit(_matrix(part.column(2), np.float64)).astype(np.float32)
-                found = [tree.leaves(vectors) for tree in forest]
-                row = np.concatenate([r for r, _ in found])
-                leaf = np.concatenate([x + start for (_, x), start in zip(found, starts, strict=True)])
-                order = np.lexsort((leaf, row))
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(leaf[order], pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=["id", "copies", "v", "leaves"])
+            dims = pa.compute.divide(pa.compute.binary_length(batch.column(2)), 8)
+            for dim in pa.compute.unique(dims).to_pylist():
+                same = batch.filter(pa.compute.equal(dims, dim))
+                for at in range(0, same.num_rows, 4096):
+                    part = same.slice(at, 4096)
+                    if dim in forests:
+                        vectors = _unit(_matrix(part.column(2), np.float64)).astype(np.float32)
+                        found = [(r, x + start) for tree, start in zip(*forests[dim], strict=True) for r, x in [tree.leaves(vectors)]]
+                    else:
+                        found = [(np.arange(part.num_rows), np.full(part.num_rows, -dim))]
+                    row, leaf = (np.concatenate(x) for x in zip(*found, strict=True))
+                    order = np.lexsort((leaf, row))
+                    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))])
+                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(leaf[order], pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*part.columns, lists], names=["id", "copies", "v", "leaves"])
 
     routed = materialize(distinct.select("id", "copies", "v").mapInArrow(route, "id long, copies long, v binary, leaves array<int>"), "vectors-routed")
     large = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().filter(F.col("count") > TILE)

@@ -9,7 +9,8 @@ def brute(rows):
     ok = [(i, np.array(v)) for i, v in rows if i is not None and v and None not in v]
     ok = [(i, v) for i, v in ok if np.isfinite(v).all() and v.any()]
     want = {i: [0, i] for i, _ in rows}
-    links = {i: {j for j, w in ok if j != i and v @ w / np.sqrt(v @ v) / np.sqrt(w @ w) >= 0.9} for i, v in ok}
+    ok = [(i, v / np.abs(v).max()) for i, v in ok]
+    links = {i: {j for j, w in ok if j != i and len(v) == len(w) and v @ w / np.sqrt(v @ v) / np.sqrt(w @ w) >= 0.9} for i, v in ok}
     for i in sorted(links):
         if want[i][1] == i:
             stack = [i]
@@ -64,7 +65,7 @@ def test_vectors_that_cannot_link(llm):
             (9, [-0.0, 2.0]), (10, [1.0, None]), (11, [float("inf"), 1.0]), (12, [1.0, 0.0, 0.0]), (13, [1e200, 1e200])]
     got = run(llm, rows)
     assert got[1] == (2, 1, True) and got[2] == (2, 1, False) and got[7] == (2, 1, False) and got[9] == (1, 8, False)
-    assert all(got[i] == (0, i, True) for i in (3, 4, 5, 6, 10, 11, 12))
+    assert all(got[i] == (0, i, True) for i in (3, 4, 5, 6, 10, 11, 12, 13))
     assert run(llm, [(None, [1.0, 0.0]), (4, [1.0, 0.0])]) == {None: (0, None, True), 4: (0, 4, True)}
     assert run(llm, []) == {}
 
@@ -90,3 +91,27 @@ def test_a_loose_dense_group_ends_in_few_leaves():
             together |= np.array([bool(set(reached[a]) & set(reached[b])) for a, b in zip(one, two, strict=True)])
         links = (vectors[one].astype(np.float64) * vectors[two]).sum(axis=1) >= E.MIN_COSINE
         assert links.sum() > 4000 and together[links].mean() >= 0.9
+
+
+def test_vectors_of_any_length_and_norm_link(llm, monkeypatch):
+    rows = vectors(4, 300) + [(2000 + i, [*v, 0.5]) for i, v in vectors(5, 200)] + [(3000 + i, v[:3]) for i, v in vectors(6, 40)]
+    rows = [(i, (np.array(v) * (10.0 ** (-290 + 29 * (i % 21)))).tolist()) for i, v in rows]
+    rows += [(5000, [1.0, 0.0, 0.0, 0.0]), (5001, [1e200, 0.0, 0.0, 1e-200]), (5002, [5e-324, 0.0, 0.0, 0.0]), (5003, [1e308] * 2), (5004, [1e-320] * 2), (5005, [3.0])]
+    want = brute(rows)
+    assert sum(n > 0 for n, *_ in want.values()) > 100 and want[5001][1] == want[5002][1] == 5000 and want[5004][1] == 5003
+    assert run(llm, rows) == want
+    monkeypatch.setattr(E, "LEAF", 40)
+    monkeypatch.setattr(E, "TILE", 30)
+    assert run(llm, rows) == want
+
+
+def test_leaves_shared_by_two_vectors_are_found_in_portions(monkeypatch):
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(8)
+    sets = [set(rnd.integers(0, 60, rnd.integers(0, 9)).tolist()) for _ in range(50)]
+    lists = pa.array([sorted(x) for x in sets], pa.list_(pa.int32()))
+    want = [[any(x < 40 for x in a & b) for b in sets] for a in sets]
+    for size in (1, 7, 1000):
+        monkeypatch.setattr(E, "SHARED", size)
+        assert E._share_smaller(40, lists).tolist() == want
