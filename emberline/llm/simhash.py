@@ -25,9 +25,7 @@ RADIUS = 3
 BLOCKS = (13, 13, 13, 13, 12)
 #: Shingles hashed at a time.
 CHUNK = 65_536
-#: Candidate pairs compared at a time.
-PAIRS = 1 << 16
-#: Planes after which pairs that are all beyond the radius leave.
+#: Planes after which words are abandoned whose fingerprints are all beyond the radius.
 ABANDON = 8
 #: A bucket of more fingerprints is cut into tiles, one for each two of its parts.
 TILE = 4096
@@ -60,37 +58,52 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, bits long")
 
 
-def within_radius(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether a[i] and b[i] differ in RADIUS bits or fewer.
+def bit_planes(bits: np.ndarray) -> np.ndarray:
+    """64 rows, one for each bit of the fingerprints, packed 64 fingerprints to a word; two words of zeros follow."""
+    raw = np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    planes = np.zeros((64, 8 * (-(-len(bits) // 64) + 2)), np.uint8)
+    packed = np.packbits(raw.T, axis=1, bitorder="little")
+    planes[:, : packed.shape[1]] = packed
+    return planes.view("<u8")
 
-    The differences are stored as 64 bit planes, so that one operation on a byte counts for eight pairs. Two bits of
-    carry-save counters and a sticky overflow tell distances 0 to 3 from all others; bytes whose pairs have all
-    overflowed are dropped every ABANDON planes.
+
+def within_radius(planes: np.ndarray, step: int, asked: np.ndarray) -> np.ndarray:
+    """Which of the ``asked`` fingerprints (ascending numbers) differ in RADIUS bits or fewer from the one ``step`` places on.
+
+    Every word of a plane holds a bit of 64 fingerprints, and one operation compares it with the plane moved by ``step``
+    places. Two bits of carry-save counters and a sticky overflow tell distances 0 to 3 from all others. Words are the
+    blocks: one in which all that is asked for has overflowed is abandoned, which is looked at every ABANDON planes.
     """
-    differ = np.unpackbits((a ^ b).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    planes = np.packbits(differ.T, axis=1)
-    live = np.arange(planes.shape[1])
-    ones, twos, over = (np.zeros(len(live), np.uint8) for _ in range(3))
-    near = np.zeros(planes.shape[1], np.uint8)
+    words, place = np.unique(asked >> 6, return_inverse=True)
+    active = np.zeros(len(words), np.uint64)
+    np.bitwise_or.at(active, place, np.uint64(1) << (asked & 63).astype(np.uint64))
+    ahead, move = step >> 6, np.uint64(step & 63)
+    ones, twos, over = (np.zeros(len(words), np.uint64) for _ in range(3))
     for k in range(64):
         plane = planes[k]
-        carry = ones & plane
-        ones ^= plane
+        other = plane[words + ahead]
+        if move:
+            other = (other >> move) | (plane[words + ahead + 1] << (np.uint64(64) - move))
+        differ = plane[words] ^ other
+        carry = ones & differ
+        ones ^= differ
         over |= twos & carry
         twos ^= carry
-        if k % ABANDON == ABANDON - 1 and k < 63 and (go := over != 255).mean() < 0.75:
-            live, planes = live[go], planes[:, go]
-            ones, twos, over = ones[go], twos[go], over[go]
-            if not len(live):
-                break
-    near[live] = ~over
-    return np.unpackbits(near)[: len(a)].astype(bool)
+        if k % ABANDON == ABANDON - 1:
+            go = (active & ~over) != 0
+            if not go.all():
+                words, active, ones, twos, over = (x[go] for x in (words, active, ones, twos, over))
+                if not len(words):
+                    break
+    near = np.unpackbits((active & ~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    word, bit = np.nonzero(near)
+    return words[word] * 64 + bit
 
 
 def _links(keys: np.ndarray, bits: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (id, smaller id) that connect all ids whose fingerprints link and share a key; rows come sorted by key."""
     n = len(keys)
-    root = np.arange(n)
+    root, planes = np.arange(n), bit_planes(bits)
 
     def unite(i: np.ndarray, j: np.ndarray) -> None:
         while len(i):
@@ -101,18 +114,13 @@ def _links(keys: np.ndarray, bits: np.ndarray, ids: np.ndarray) -> tuple[np.ndar
             apart = root[i] != root[j]
             i, j = i[apart], j[apart]
 
-    step, pending, waiting = 1, [], 0
+    step = 1
     open_rows = np.arange(n - 1)
-    while len(open_rows):
-        open_rows = open_rows[open_rows + step < n]
+    while len(open_rows := open_rows[open_rows + step < n]):
         open_rows = open_rows[keys[open_rows] == keys[open_rows + step]]  # keys are sorted: once apart, apart for good
-        pending.append((open_rows, open_rows + step))
-        waiting += len(open_rows)
-        if waiting >= PAIRS or not len(open_rows):
-            i, j = (np.concatenate(x) for x in zip(*pending, strict=True))
-            near = within_radius(bits[i], bits[j]) if len(i) else np.zeros(0, bool)
-            unite(i[near], j[near])
-            pending, waiting = [], 0
+        if len(open_rows):
+            near = within_radius(planes, step, open_rows)
+            unite(near, near + step)
         step += 1
     linked = np.flatnonzero(root != np.arange(n))
     return ids[linked], ids[root[linked]]
@@ -141,19 +149,33 @@ def _bucket_rows(distinct: DataFrame) -> DataFrame:
 def link_fingerprints(distinct: DataFrame) -> DataFrame:
     """``node``, ``component`` for the ``id`` of every fingerprint (``id``, ``bits``; each distinct) with a link."""
 
+    def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """The sorted rows, cut so that no group is parted; what waits is never more than a group, which a tile bounds."""
+        waiting = []
+        for batch in batches:
+            key, tile = batch.column("key").to_numpy(), batch.column("tile").to_numpy()
+            if not len(key):
+                continue
+            last = waiting[-1] if waiting else batch
+            first = np.append((key[0] != last.column("key")[-1].as_py()) | (tile[0] != last.column("tile")[-1].as_py()), (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]))
+            starts = np.flatnonzero(first)
+            if not len(starts):
+                waiting.append(batch)
+                continue
+            if waiting or starts[-1]:
+                yield pa.Table.from_batches([*waiting, batch.slice(0, starts[-1])])
+            waiting = [batch.slice(starts[-1])]
+        if waiting:
+            yield pa.Table.from_batches(waiting)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        key, tile, bits, ids = (table.column(c).to_numpy() for c in ("key", "tile", "bits", "id"))
-        order = np.lexsort((ids, tile, key))
-        key, tile = key[order], tile[order]
-        change = np.concatenate([[0], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])])
-        u, v = _links(np.cumsum(change), bits[order].view(np.uint64), ids[order])
-        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    rows = _bucket_rows(distinct).repartition("key", "tile").select("id", "bits", "key", "tile")
+        for table in whole_groups(batches):
+            key, tile, bits, ids = (table.column(c).to_numpy() for c in ("key", "tile", "bits", "id"))
+            change = np.append(0, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]))
+            u, v = _links(np.cumsum(change), bits.view(np.uint64), ids)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    rows = _bucket_rows(distinct).repartition("key", "tile").select("id", "bits", "key", "tile").sortWithinPartitions("key", "tile", "id")
     return components(rows.mapInArrow(run, "u long, v long"))
 
 

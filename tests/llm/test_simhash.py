@@ -68,10 +68,11 @@ def test_every_link_within_the_radius_is_found(llm, monkeypatch):
                 prints[len(prints)] = bits
     want = brute_groups(prints)
     df = llm.createDataFrame([(i, b - (1 << 64) if b >> 63 else b) for i, b in prints.items()], "id long, bits long")
-    for tile, pairs in ((S.TILE, S.PAIRS), (7, 50)):
+    for tile, batch in ((S.TILE, "10000"), (7, "5")):
         monkeypatch.setattr(S, "TILE", tile)
-        monkeypatch.setattr(S, "PAIRS", pairs)
+        llm.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
         found = {r["node"]: r["component"] for r in S.link_fingerprints(df).collect()}
+        llm.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         assert {i: found.get(i, i) for i in prints} == want
 
 
@@ -79,8 +80,12 @@ def test_bit_planes_count_like_popcount():
     rnd = np.random.default_rng(1)
     a = rnd.integers(0, 1 << 63, 5000, dtype=np.uint64)
     flips = np.array([np.bitwise_or.reduce(np.uint64(1) << rnd.integers(0, 64, k, dtype=np.uint64)) if k else 0 for k in rnd.integers(0, 8, 5000)], dtype=np.uint64)
-    assert (S.within_radius(a, a ^ flips) == (np.bitwise_count(flips) <= 3)).all()
-    assert S.within_radius(a, ~a).sum() == 0 and S.within_radius(a[:3], a[:3]).all()
+    for n in (1, 63, 64, 65, 5000):
+        both = np.concatenate([a[:n], a[:n] ^ flips[:n]])
+        assert S.within_radius(S.bit_planes(both), n, np.arange(n)).tolist() == np.flatnonzero(np.bitwise_count(flips[:n]) <= 3).tolist()
+        some = np.arange(0, n, 3)
+        assert S.within_radius(S.bit_planes(both), n, some).tolist() == [i for i in some if np.bitwise_count(flips[i]) <= 3]
+    assert len(S.within_radius(S.bit_planes(np.concatenate([a, ~a])), len(a), np.arange(len(a)))) == 0
 
 
 def test_long_text_goes_in_chunks(monkeypatch):
