@@ -8,6 +8,7 @@ from catalog import query
 from catalog.inputs import cleaned, fact, fresh_fact
 from emberline.functions.timebuckets import time_floor
 from emberline.operators import analytics as A
+from emberline.operators.heavy import top_groups
 from emberline.plans.sql_surface import quoted_sql, register
 from fixtures import fixture, oracle
 
@@ -40,6 +41,21 @@ def _(spark, sf):
     return A.busiest_municipalities(fact(spark, sf))
 
 
+@query("bench2_sketched", oracle("""
+SELECT municipio, bioma, CAST(sum(total_focos) AS BIGINT) AS total_focos
+FROM fact GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 50"""))
+def _(spark, sf):
+    return top_groups(fact(spark, sf), ["municipio", "bioma"], "total_focos", 50)
+
+
+@query("top_parts", """
+SELECT l_partkey, l_suppkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS unidades FROM lineitem GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 20""")
+def _(spark, sf):
+    """The largest of very many groups of about equal size, where a sketch can rule out fewer of them."""
+    items = fixture(spark, sf, "SELECT l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS unidades FROM lineitem")
+    return top_groups(items, ["l_partkey", "l_suppkey"], "unidades", 20)
+
+
 @query("bench3_complex_filters", oracle("""
 SELECT satelite, count(*) AS fatias_de_minuto_processadas, CAST(sum(total_focos) AS BIGINT) AS focos_reais
 FROM fact WHERE risco_eletrico = 'ALTO' AND bioma = 'Amazônia' AND em_terra_indigena = 'true' GROUP BY 1"""))
