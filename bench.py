@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 
 from catalog.inputs import context, fact, spread
 from emberline.operators import analytics as A
+from emberline.operators.heavy import top_groups
 from emberline.plans.enrichment import enrich_hotspots
 from emberline.session import build_session, release, scratch_path
 from emberline.sources.storage import compact_by_year, write_by_year, write_fragments
+from emberline.streaming.merge import merged_measures
 from fixtures import fixture
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -94,6 +96,12 @@ def main() -> None:
     for name, query in SIX.items():
         times[f"{name}_3m_warm"] = median(lambda query=query: query(published).collect(), 3)
 
+    # the hourly table that the stream keeps (streaming/merge.py), here made from all rows
+    hours = scratch_path(spark, "hours")
+    published.groupBy(F.date_trunc("hour", "__time").alias("__time")).agg(*merged_measures()).coalesce(1).write.parquet(hours)
+    times["bench1_hourly_table_3m_warm"] = median(lambda: A.hourly_series(spark.read.parquet(hours)).collect(), 3)
+    times["bench2_sketched_3m_warm"] = median(lambda: top_groups(published, ["municipio", "bioma"], "total_focos", 50).collect(), 3)
+
     metrics = fixture(spark, SF_DIR, "metrics")
     times["ops_latency"] = median(lambda: A.latency_summary(metrics).collect())
     times["ops_throughput"] = median(lambda: A.throughput_per_minute(metrics).collect())

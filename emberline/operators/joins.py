@@ -19,7 +19,8 @@ def salted_left_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Da
     """Left join of two large relations that no key can pile up in one task.
 
     Rows with a null key match nothing; a salt that is part of the join key spreads them, as they may be most of the rows.
-    Other hot keys are left to adaptive execution, which splits the partitions of the left side that turn out large. So
+    Other hot keys are left to adaptive execution, which splits the partitions of the left side that turn out large; a stream, which
+    that does not reach, still has its null keys spread. So
     neither side is read ahead to look for them, and chains of joins read ``left`` once. The salt is a hash of the other
     columns, so that a task that runs again after a lost executor sends its rows to the same places.
     """
@@ -37,6 +38,4 @@ def sized_left_join(left: DataFrame, right: DataFrame, on: Sequence[str], row_by
     """Left join that broadcasts ``right`` if its counted size allows, and salts hot keys otherwise."""
     if has_at_most(right, BROADCAST_BYTES // row_bytes):
         return left.join(F.broadcast(right), list(on), "left")
-    if left.isStreaming:
-        return left.join(right, list(on), "left")
     return salted_left_join(left, right, on)
