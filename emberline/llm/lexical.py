@@ -21,7 +21,7 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Documents returned for each item.
 TOP = 50
 #: A shard holds about so many bytes of text; a longer text is a shard of its own.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 #: Postings of a block.
 BLOCK = 128
 #: Documents of a shard that are looked at before the threshold is raised.
