@@ -84,14 +84,6 @@ def _(spark, sf):
     )
 
 
-@query("project_polyconic", oracle("""
-SELECT event_id, round(px) AS x, round(py) AS y FROM points WHERE NOT isnan(px) AND NOT isnan(py)"""))
-def _(spark, sf):
-    x, y = polyconic_xy(F.col("longitude"), F.col("latitude"))
-    points = cleaned(spark, sf).filter(~F.isnan("longitude") & ~F.isnan("latitude"))
-    return points.select("event_id", F.round(x).alias("x"), F.round(y).alias("y"))
-
-
 def _points(spark, sf):
     x, y = polyconic_xy(F.col("longitude"), F.col("latitude"))
     known = ~F.isnan("longitude") & ~F.isnan("latitude")
@@ -101,6 +93,13 @@ def _points(spark, sf):
     )
 
 
+@query("project_polyconic", oracle("""
+SELECT event_id, CASE WHEN NOT isnan(px) AND NOT isnan(py) THEN round(px) END AS x, CASE WHEN NOT isnan(px) AND NOT isnan(py) THEN round(py) END AS y
+FROM points"""))
+def _(spark, sf):
+    return _points(spark, sf).select("event_id", F.round("x").alias("x"), F.round("y").alias("y"))
+
+
 @query("pip_join", oracle("""
 SELECT p.event_id, coalesce(codigo_ti, -1) AS codigo_ti, coalesce(codigo_ibge_espacial, -1) AS codigo_ibge_espacial
 FROM points p LEFT JOIN in_lands USING (event_id) LEFT JOIN in_cities USING (event_id)"""))

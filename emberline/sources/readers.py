@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberline.functions.geometry import parts_from_geojson
+from emberline.session import materialize
 from emberline.sources.ranges import geojson_features, split_csv
 
 
@@ -133,6 +134,8 @@ def merge_geojson_pages(
         F.regexp_extract(F.col("_metadata.file_path"), page_pattern, 1).cast("bigint").alias("page"),
         F.coalesce("features", F.array().cast(T.ArrayType(_feature_type(properties)))).alias("features"),
     )
+    # parsed once: first to find the last page, then for the features
+    pages = materialize(pages, "geojson-pages")
     sizes = pages.select("page", F.size("features").alias("n"))
     following = sizes.select((F.col("page") - 1).alias("page"), F.lit(True).alias("followed"))
     last = (
