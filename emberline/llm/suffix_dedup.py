@@ -17,8 +17,9 @@ from emberline.session import materialize
 LENGTH = 400
 #: Bytes of an anchor. Two suffixes are compared only if their first LENGTH bytes have the same anchor.
 GRAM = 128
-#: Bytes of text for each range of suffixes, so that a bucket fits in a task whatever the size of the corpus.
-RANGE_BYTES = 16 << 20
+#: Bytes of blocks for each range of suffixes, so that a bucket fits in a task whatever the size of the corpus; and about what
+#: a block holds: the starts of one anchor, LENGTH bytes from the last of them, and a gram before.
+RANGE_BYTES, BLOCK_BYTES = 16 << 20, 700
 #: Leading bytes of a suffix that the ranges go by; the splitters that Spark samples are no longer than that.
 LEAD = 192
 #: Suffixes sorted at a time within a bucket.
@@ -263,7 +264,7 @@ def _parts(group: np.ndarray) -> Iterator[np.ndarray]:
         lo = hi
 
 
-def repeated_starts(docs: DataFrame, key: DataFrame) -> DataFrame:
+def repeated_starts(docs: DataFrame) -> DataFrame:
     """``key``, ``size``, ``first``, ``last``: runs of places of a text at which a string of LENGTH bytes starts that also starts elsewhere.
 
     Every string of LENGTH bytes has an anchor, the GRAM bytes in it with the smallest hash, so that equal strings have equal
@@ -276,12 +277,14 @@ def repeated_starts(docs: DataFrame, key: DataFrame) -> DataFrame:
     """
     found = materialize(_anchor_rows(docs), "suffix-anchors")
     repeated = found.groupBy("anchor").agg(F.min(F.struct("key", "size")).alias("a"), F.max(F.struct("key", "size")).alias("b"), F.max("many").alias("many"))
-    repeated = repeated.filter("many OR a != b").select("anchor")
+    # stored, as the next table is, so that the joins are free of the aggregations and Spark can split hot anchors and texts
+    repeated = materialize(repeated.filter("many OR a != b").select("anchor"), "suffix-repeated")
     wanted = found.join(repeated, "anchor").groupBy("key", "size").agg(F.collect_set("anchor").alias("wanted"), F.min("doc_id").alias("_first"))
+    wanted = materialize(wanted, "suffix-wanted")
     # of texts that are equal one is cut; the others are judged by their number
     texts = docs.join(wanted, ["key", "size"]).filter(F.col("doc_id").eqNullSafe(F.col("_first")))
-    total = key.agg(F.sum("size")).first()[0] or 0
-    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
+    blocks = wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-blocks * BLOCK_BYTES // RANGE_BYTES))
     buckets = _blocks(texts).repartitionByRange(ranges, F.substring("suffix", 1, LEAD), "key", "start")
     done = materialize(buckets.mapInArrow(lambda batches: _bucket(batches, ranges), SORTED_DDL), "suffix-buckets")
     across = done.filter("border IS NOT NULL").select("shard", "border").groupBy("shard").applyInArrow(_across, FOUND_DDL)
@@ -316,7 +319,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     texts = texts.select("doc_id", "text", F.xxhash64("text").alias("key"), F.octet_length("text").cast("long").alias("size"))
     counts = materialize(texts.select("key", "size").groupBy("key", "size").agg(F.count(F.lit(1)).alias("copies")), "suffix-texts")
-    runs = repeated_starts(texts.filter(F.col("size") >= LENGTH), counts)
+    runs = repeated_starts(texts.filter(F.col("size") >= LENGTH))
     each = runs.groupBy("key", "size").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     whole = counts.filter((F.col("copies") > 1) & (F.col("size") >= LENGTH)).select("key", "size", F.array(F.struct(F.lit(0).cast("long").alias("first"), (F.col("size") - LENGTH).alias("last"))).alias("runs"))
     marks = each.join(whole.select("key", "size"), ["key", "size"], "left_anti").unionByName(whole)
