@@ -29,8 +29,8 @@ def shared_lines(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
     """The hashes of lines on at least ``min_sites`` distinct sites, with the line that stays (``first``).
 
     A HyperLogLog sketch of the sites per line hash is built in each task and merged after the shuffle, so a line that
-    stands on a third of all rows sends one sketch per task. Lines whose estimate is near the threshold are counted
-    exactly, from distinct pairs of line and site.
+    stands on a third of all rows sends one sketch per task. Lines whose estimate is within ERRORS standard errors of the threshold are
+    counted exactly, from distinct pairs of line and site; beyond, the sketch alone decides.
     """
     margin = ERRORS * 1.04 / (2 ** (lg_k / 2))
     low, high = min_sites * (1 - margin) - 0.5, min_sites * (1 + margin) + 0.5

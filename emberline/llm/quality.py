@@ -186,7 +186,8 @@ def learn_rules(labelled: DataFrame) -> list[Rule]:
 
     Each rule is a conjunction of thresholds grown on two thirds of the rows and pruned on the rest; the rows it meets
     then leave the table. Every step is one aggregation over all labelled rows that returns a count per feature and
-    bin, whose number the thresholds fix. Learning stops at the first rule that is not precise enough.
+    bin, whose number the thresholds fix. Learning stops at the first rule that is not precise enough, and after MAX_RULES
+    rules; a rule has MAX_CONDITIONS conditions at most. Both bound the size of the list, so that it can be read; they leave out no rows.
     """
     bins = [_bin(feature(name), grid) for name, (_, _, grid) in FEATURES.items()]
     rows = materialize(labelled.select(F.col("bad").cast("int").alias("bad"), F.array(*bins).alias("bins"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0).alias("grow")), "quality-labels")
