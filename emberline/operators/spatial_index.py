@@ -4,7 +4,8 @@ A square that covers the whole Earth is cut into cells; at level ``n`` there are
 index keeps for each *leaf* cell of a layer an array of candidates. Crowded cells are cut further, so the
 arrays stay short wherever the features lie. Each place belongs to exactly one leaf of a layer, so a probe is a left
 join that neither loses nor multiplies rows. Every layer has its own leaves: a sparse layer needs few of them, however
-dense the others are. Layers that are small together share a table, so that one join serves them all.
+dense the others are. Layers that are small together share a table, so that one join serves them all; its rows are the
+leaves cut at each other's borders, in the order of Morton numbers.
 
 Two indexes exist: segments in metres for the nearest feature, and polygon edges in degrees for containment.
 """
@@ -14,18 +15,38 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.geometry import PARTS_TYPE, explode_segments, parts_from_wkt, point_parts
 from emberline.functions.projections import polyconic_xy
-from emberline.session import BROADCAST_BYTES, materialize
+from emberline.session import BROADCAST_BYTES, materialize, materialize_bucketed
 
 _LEVEL_BIT, _COLUMN_BIT, _SLOT_BIT = 52, 26, 57
-#: Number of the leaf for all positions outside the box that the cells cover, and its level.
-BEYOND_CELL = -1
-BEYOND_LEVEL = BEYOND_CELL >> _LEVEL_BIT
+#: Level of the smallest cells; places are numbered by them.
+FINEST = 26
+# What lies outside the box of the cells is cut into eight sectors, leaves with the numbers -1 to -9 (-5 would be the box).
+#: Largest number of places that an index may have: each costs 8 bytes in the directory that every task holds.
+DIRECTORY_PLACES = BROADCAST_BYTES // 16
+#: Places in a node of the directory, a power of two.
+NODE = 256
+#: Size of a bucket of a stored index that is too large to broadcast.
+BUCKET_BYTES = 64 * 1024 * 1024
+
+
+def _every_second_bit(value: Column) -> Column:
+    """The low 26 bits of ``value``, moved apart."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask))
+    return value
+
+
+def morton(ix: Column, iy: Column) -> Column:
+    """Number of a finest cell such that the cells within any larger cell are numbered one after the other."""
+    return F.shiftleft(_every_second_bit(ix), 1).bitwiseOR(_every_second_bit(iy))
 
 
 @dataclass(frozen=True)
@@ -42,14 +63,12 @@ class Grid:
     def number(self, level: int, ix: Column, iy: Column) -> Column:
         return F.lit(level << _LEVEL_BIT) + ix * (1 << _COLUMN_BIT) + iy
 
-    def number_at(self, level: int, x: str, y: str) -> Column:
-        """Cell number of the position in columns ``x, y``, null outside the grid."""
-        size = self.size(level)
-        axis = [f"floor(({c} - {o!r}D) / {size!r}D)" for c, o in ((x, self.x0), (y, self.y0))]
+    def finest(self, x: str, y: str) -> tuple[Column, Column]:
+        """Column and row of the finest cell that holds the position in columns ``x, y``, null outside the grid."""
+        size = self.size(FINEST)
         inside = " AND ".join(f"{c} >= {o!r}D AND {c} < {o + self.side!r}D" for c, o in ((x, self.x0), (y, self.y0)))
-        return F.expr(
-            f"CASE WHEN {inside} THEN {level << _LEVEL_BIT}L + {axis[0]} * {1 << _COLUMN_BIT}L + {axis[1]} END"
-        )
+        ix, iy = (F.expr(f"CASE WHEN {inside} THEN floor(({c} - {o!r}D) / {size!r}D) END") for c, o in ((x, self.x0), (y, self.y0)))
+        return ix, iy
 
 
 # Wide enough for every projected longitude and latitude.
@@ -59,16 +78,21 @@ DEGREE_GRID = Grid(-256.0, -256.0, 512.0)
 
 @dataclass(frozen=True)
 class CellIndex:
-    """Leaves of one or more layers: ``cell`` and one array of candidates per layer (null where the cell is no leaf)."""
+    """Leaves of one or more layers, cut so that they are the same for all: ``place`` and one array of candidates per layer.
+
+    ``place`` is the Morton number of a leaf's first finest cell, or the number of a sector. The leaf of a position is the
+    last one whose place is not after that of the position; an array is null where its layer has nothing.
+    """
 
     leaves: DataFrame
     grid: Grid
-    #: layer -> levels of its leaves
-    levels: Mapping[str, tuple[int, ...]]
+    layers: tuple[str, ...]
     n_cells: int
     n_entries: int
-    #: west, east, south and north border of what the cells cover; None if there is no leaf for positions beyond
+    #: west, east, south and north border of what the cells cover; None if there are no leaves for positions beyond
     box: tuple[float, float, float, float] | None = None
+    #: number of buckets in which ``leaves`` is stored by ``place``, 0 if it is not
+    buckets: int = 0
 
     #: upper estimates of the in-memory size of one candidate and one cell
     ENTRY_BYTES = 88
@@ -78,25 +102,52 @@ class CellIndex:
     def size(cls, cells: int, entries: int) -> int:
         return cells * cls.CELL_BYTES + entries * cls.ENTRY_BYTES
 
-    def at_level(self, level: int) -> DataFrame:
-        return self.leaves.filter(F.shiftright("cell", _LEVEL_BIT) == level)
-
-    def key(self, level: int, x: str, y: str) -> Column:
-        """Number of the cell at ``level`` that holds the position in columns ``x, y``; null if it cannot be a leaf."""
-        if level != BEYOND_LEVEL:
-            return self.grid.number_at(level, x, y)
+    def sector(self, x: str, y: str) -> Column:
+        """Number of the sector beyond the box that holds the position in columns ``x, y``; null within the box."""
+        if self.box is None:
+            return F.lit(None).cast("bigint")
         west, east, south, north = self.box
-        outside = f"{x} < {west!r}D OR {x} > {east!r}D OR {y} < {south!r}D OR {y} > {north!r}D"
-        return F.expr(f"CASE WHEN ({outside}) AND NOT isnan({x}) AND NOT isnan({y}) THEN {BEYOND_CELL}L END")
+        across = f"CASE WHEN {x} < {west!r}D THEN 0L WHEN {x} > {east!r}D THEN 2L ELSE 1L END"
+        along = f"CASE WHEN {y} < {south!r}D THEN 0L WHEN {y} > {north!r}D THEN 2L ELSE 1L END"
+        return F.expr(f"CASE WHEN NOT isnan({x}) AND NOT isnan({y}) THEN nullif(-1L - 3L * ({across}) - ({along}), -5L) END")
+
+    def locate(self, points: DataFrame, x: str, y: str, out: str) -> DataFrame:
+        """Add the place of the leaf that holds the position in columns ``x, y``, null if there is none.
+
+        All places stand sorted in one array, cut into nodes of NODE places: scalar subqueries of a checked size, which are
+        not copied with the rows. A level of nodes holds each first place of the nodes of the next; a binary search runs
+        through one node of each.
+        """
+        ix, iy = self.grid.finest(x, y)
+        kept = points.columns
+        x26, y26, beyond, own, at, node = (f"{out}{c}" for c in "xysman")
+        found = points.withColumns({x26: ix, y26: iy, beyond: self.sector(x, y)})
+        number = F.when(F.col(beyond).isNull(), morton(F.col(x26), F.col(y26)))
+        found = found.select(*kept, beyond, number.alias(own), F.lit(0).alias(at))
+        halves = F.array(*[F.lit(1 << bit) for bit in reversed(range(NODE.bit_length() - 1))])
+
+        def later(place: Column, step: Column) -> Column:
+            return F.when(F.get(F.col(node), place + step) <= F.col(own), place + step).otherwise(place)
+
+        depth = 1
+        while NODE**depth < self.n_cells:
+            depth += 1
+        everything = self.leaves.filter("place >= 0").agg(F.sort_array(F.collect_list("place")).alias("p"))
+        for level in reversed(range(depth)):
+            firsts = f"transform(filter(sequence(0, size(p) - 1), i -> i % {NODE**level} = 0), i -> get(p, i))" if level else "p"
+            nodes = f"transform(sequence(0, (size(f) - 1) div {NODE}), i -> slice(f, CAST(i * {NODE} + 1 AS INT), {NODE}))"
+            held = everything.filter("size(p) > 0").select(F.expr(firsts).alias("f")).select(F.expr(nodes).alias("n")).scalar()
+            found = found.withColumn(node, F.get(held, F.col(at))).withColumn(f"{at}1", F.aggregate(halves, F.lit(0), later))
+            if level:
+                found = found.withColumn(at, F.col(at) * NODE + F.col(f"{at}1"))
+        place = F.get(F.col(node), F.col(f"{at}1"))
+        found = found.select(*kept, beyond, own, place.alias(node))
+        return found.select(*kept, F.coalesce(beyond, F.when(F.col(node) <= F.col(own), F.col(node))).alias(out))
 
     @property
     def broadcastable(self) -> bool:
         return self.size(self.n_cells, self.n_entries) <= BROADCAST_BYTES
 
-    @property
-    def directory_broadcastable(self) -> bool:
-        return self.n_cells * self.CELL_BYTES <= BROADCAST_BYTES
-
 
 def _tasks(df: DataFrame) -> int:
     """Number of tasks for work that grows out of few rows."""
@@ -104,13 +155,38 @@ def _tasks(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def _overlay(own: DataFrame, group: Sequence[str], block: int) -> DataFrame:
+    """``place`` and arrays of the leaves cut at every border of a leaf of any layer; leaves of no layer have null arrays.
+
+    A row starts where a leaf starts or ends. With several layers an array also holds for the rows that follow, up to the
+    end of its leaf; all of a leaf lies in one cell of level ``block``.
+    """
+    level = F.shiftright("cell", _LEVEL_BIT).cast("int")
+    low = (1 << _COLUMN_BIT) - 1
+    tiles = own.filter("cell >= 0").select(
+        "*", level.alias("level"), F.shiftright("cell", _COLUMN_BIT).bitwiseAND(F.lit(low)).alias("ix"), F.col("cell").bitwiseAND(F.lit(low)).alias("iy")
+    ).withColumns({c: F.expr(f"shiftleft({c}, {FINEST} - level)") for c in ("ix", "iy")})
+    tiles = tiles.withColumn("place", morton(F.col("ix"), F.col("iy"))).withColumn("until", F.expr(f"place + shiftleft(1L, 2 * ({FINEST} - level))"))
+    held = [F.when(F.col(n).isNotNull(), F.struct("until", F.col(n).alias("array"))).alias(n) for n in group]
+    marks = tiles.select("place", *held).unionByName(tiles.select(F.col("until").alias("place")), allowMissingColumns=True)
+    cut = marks.groupBy("place").agg(*[F.first(n, ignorenulls=True).alias(n) for n in group])
+    if len(group) > 1:
+        before = Window.partitionBy(F.shiftright("place", 2 * (FINEST - block))).orderBy("place")
+        cut = cut.select("place", *[F.last(n, ignorenulls=True).over(before).alias(n) for n in group])
+    cut = cut.select("place", *[F.when(F.col(n)["until"] > F.col("place"), F.col(n)["array"]).alias(n) for n in group])
+    return cut.unionByName(own.filter("cell < 0").withColumnRenamed("cell", "place"))
+
+
 def _finish(
-    flat: DataFrame, weight: Column, grid: Grid, label: str, box: tuple[float, float, float, float] | None = None
+    flat: DataFrame, weight: str, grid: Grid, label: str, box: tuple[float, float, float, float] | None = None
 ) -> list[CellIndex]:
-    """Store the candidates of each leaf in one row: a shared table for the small layers, one for each large layer."""
+    """Store the candidates of each leaf in one row: a shared table for the small layers, one for each large layer.
+
+    ``weight`` is the SQL expression for the entries in an array ``{a}`` of candidates.
+    """
     level = F.shiftright("cell", _LEVEL_BIT).alias("level")
     totals = flat.groupBy("layer", level).agg(
-        F.approx_count_distinct("cell").alias("cells"), F.sum(weight).alias("entries")
+        F.approx_count_distinct("cell").alias("cells"), F.sum(F.expr(weight.format(a="array(candidate)"))).alias("entries")
     ).collect()  # one row per layer and level
     sizes: dict[str, int] = {}
     for r in totals:
@@ -131,11 +207,18 @@ def _finish(
             # by id, the first field
             own = F.sort_array(F.collect_list(F.when(F.col("layer") == name, F.col("candidate"))))
             arrays.append(F.when(F.size(own) > 0, own).alias(name))
-        rows = flat.filter(F.col("layer").isin(group))
-        table = materialize(rows.groupBy("cell").agg(*arrays, F.sum(weight).alias("_entries")), label)
-        exact = table.agg(F.count(F.lit(1)).alias("cells"), F.sum("_entries").alias("entries")).first()
-        levels = {n: tuple(sorted(r["level"] for r in totals if r["layer"] == n)) for n in group}
-        indexes.append(CellIndex(table.drop("_entries"), grid, levels, exact["cells"], exact["entries"], box))
+        rows = flat.filter(F.col("layer").isin(group)).groupBy("cell").agg(*arrays)
+        cut = _overlay(materialize(rows, f"{label}-leaves"), group, min((r["level"] for r in totals if r["layer"] in group and r["level"] >= 0), default=0))
+        entries = reduce(add, [F.coalesce(F.expr(weight.format(a=f"`{n}`")), F.lit(0)) for n in group])
+        large = sum(sizes[n] for n in group) > BROADCAST_BYTES
+        # a bucket is what a task reads of the index
+        buckets = max(_tasks(flat), sum(sizes[n] for n in group) // BUCKET_BYTES) if large else 0
+        cut = cut.withColumn("entries", entries)
+        table = materialize_bucketed(cut, label, "place", buckets) if large else materialize(cut, label)
+        exact = table.agg(F.count(F.lit(1)).alias("cells"), F.sum("entries").alias("entries")).first()
+        if exact["cells"] > DIRECTORY_PLACES:
+            raise ValueError(f"{exact['cells']} leaves for {', '.join(group)}; allow more candidates in a leaf (capacity)")
+        indexes.append(CellIndex(table, grid, tuple(group), exact["cells"], exact["entries"], box, buckets))
     return indexes
 
 
@@ -179,7 +262,7 @@ def metric_segments(shapes: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------------------------- nearest
 
 #: Deepest level of the nearest index; its cells are 1 m wide.
-DEEPEST = 26
+DEEPEST = FINEST
 #: Width of the strip around the layers that cells cover too, as a share of their extent.
 AROUND = 0.0625
 #: A cell of at most STUBBORN candidates that keeps this share of its parent's is not cut.
@@ -222,8 +305,9 @@ def nearest_index(segments: DataFrame, *, capacity: int = 24) -> list[CellIndex]
     around a vertex that many features share, is not cut: smaller cells would hold the same.
 
     The cells cover a box around all layers. The way from a point outside it to its nearest feature crosses the
-    border of the box, and the feature is nearest there too; so the candidates of the cells on the border are all
-    that positions beyond the box need, and they make up one more leaf. Identical geometries are merged first (lowest id
+    border of the box, and the feature is nearest there too; so positions beyond the box need only the candidates of cells on
+    the border, and of these only those on the sides that can be seen from there: one side, or two from beyond a corner. Each of
+    the eight sectors is one more leaf. Identical geometries are merged first (lowest id
     wins), so stacks of copies cost one candidate.
     """
     grid = METRIC_GRID
@@ -289,7 +373,7 @@ def nearest_index(segments: DataFrame, *, capacity: int = 24) -> list[CellIndex]
         covered = kids.filter((left <= east) & (left + size >= west) & (low <= north) & (low + size >= south))
         measured = covered.withColumns({"_cx": left + size / 2, "_cy": low + size / 2}).select(
             "candidate", "ix", "iy", "of", F.expr(candidate_distance("candidate", "_cx", "_cy")).alias("_d"),
-            ((left < west) | (left + size > east) | (low < south) | (low + size > north)).alias("border"),
+            F.struct((left < west).alias("west"), (left + size > east).alias("east"), (low < south).alias("south"), (low + size > north).alias("north")).alias("border"),
             (F.col("slot") * (1 << _SLOT_BIT) + grid.number(level, F.col("ix"), F.col("iy"))).alias("place"),
         )
         reach = size * math.sqrt(2) * (1 + 1e-9) + TIE_METRES
@@ -319,9 +403,14 @@ def nearest_index(segments: DataFrame, *, capacity: int = 24) -> list[CellIndex]
         F.col("place").bitwiseAND(F.lit((1 << _SLOT_BIT) - 1)).alias("cell"),
         "candidate", "border",
     )
-    beyond = flat.filter("border").select("layer", F.lit(BEYOND_CELL).alias("cell"), "candidate").distinct()
+    # a side of the box serves the sectors that lie beyond its line
+    sectors = F.expr(
+        "concat(if(border.west, array(-1, -2, -3), array()), if(border.east, array(-7, -8, -9), array()),"
+        " if(border.south, array(-1, -4, -7), array()), if(border.north, array(-3, -6, -9), array()))"
+    )
+    beyond = flat.select("layer", F.explode(sectors.cast("array<bigint>")).alias("cell"), "candidate").distinct()
     flat = flat.drop("border").unionByName(beyond)
-    return _finish(flat, F.lit(1), grid, "nearest-index", (west, east, south, north))
+    return _finish(flat, "size({a})", grid, "nearest-index", (west, east, south, north))
 
 
 # ----------------------------------------------------------------------------------------- containment
@@ -488,4 +577,4 @@ def containment_index(
     polygons = polygons.select(
         "cell", "layer", F.struct("id", "parity", F.col("_right").alias("border"), "edges").alias("candidate")
     )
-    return _finish(polygons, F.size("candidate.edges") + 1, grid, "containment-index")
+    return _finish(polygons, "aggregate({a}, 0, (n, p) -> n + size(p.edges) + 1)", grid, "containment-index")

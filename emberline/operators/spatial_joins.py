@@ -1,6 +1,6 @@
 """Point-in-polygon and nearest-feature joins over the cell indexes.
 
-Every probe is a chain of left joins plus expressions over the candidate arrays: one row in, one row
+Every probe is one left join per group of layers plus expressions over the candidate arrays: one row in, one row
 out, no Python, and no shuffle of the points while the index of a layer fits a broadcast.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.operators.joins import salted_left_join
+from emberline.operators.joins import bucketed_left_join, salted_left_join
 from emberline.operators.spatial_index import CellIndex, candidate_distance, walk_flips
 
 NO_ID = -1
@@ -26,40 +26,30 @@ _PLACE_BITS = 26
 def _probe(points: DataFrame, indexes: Sequence[CellIndex], layers: Sequence[str], x: str, y: str) -> DataFrame:
     """Points with the candidate arrays of their leaf, one ``_c_<layer>`` column per layer.
 
-    A small index is broadcast level by level; nothing is shuffled. Of a large one only the list of its cells is
-    broadcast (if that fits): the point learns the number of its leaf and then meets the arrays in a shuffled join
-    that splits hot leaves.
+    One search through the directory of an index finds the leaf of a point, one join its arrays. A small index is broadcast;
+    nothing is shuffled. A large one is stored in buckets, and only the points are brought to them.
     """
-    columns = points.columns
-    arrays: dict[str, list[Column]] = {}
-    large: dict[str, CellIndex] = {}
     for number, index in enumerate(indexes):
-        wanted = [n for n in layers if n in index.levels]
-        # the leaf for positions beyond the box comes last: a cell that reaches over the border is smaller and as exact
-        for level in sorted({v for n in wanted for v in index.levels[n]}, key=lambda v: (v < 0, v)):
-            key = f"_k{number}_{level}".replace("-", "m")
-            part = index.at_level(level)
-            values = {n: f"_c{number}_{level}_{n}".replace("-", "m") for n in wanted if level in index.levels[n]}
-            if index.broadcastable:
-                part = F.broadcast(part.select(F.col("cell").alias(key), *[F.col(n).alias(v) for n, v in values.items()]))
-            else:
-                part = part.select(F.col("cell").alias(key), *[F.col("cell").alias(v) for v in values.values()])
-                part = F.broadcast(part) if index.directory_broadcastable else part
-                large.update(dict.fromkeys(values, index))
-            points = points.join(part, index.key(level, x, y) == F.col(key), "left")
-            for name, value in values.items():
-                arrays.setdefault(name, []).append(F.col(value))
-    if arrays:
-        points = points.select(*columns, *[F.coalesce(*found).alias(f"_c_{n}") for n, found in arrays.items()])
-    for name, index in large.items():
-        leaves = index.leaves.select(F.col("cell").alias(f"_c_{name}"), F.col(name).alias("_array"))
-        points = salted_left_join(points, leaves, [f"_c_{name}"])
-        points = points.drop(f"_c_{name}").withColumnRenamed("_array", f"_c_{name}")
+        wanted = [n for n in layers if n in index.layers]
+        if not wanted:
+            continue
+        key = f"_k{number}"
+        points = index.locate(points, x, y, key)
+        part = index.leaves.select(F.col("place").alias(key), "entries", *[F.col(n).alias(f"_c_{n}") for n in wanted])
+        if index.broadcastable:
+            points = points.join(F.broadcast(part.drop("entries")), key, "left")
+        elif index.buckets:
+            part = part.withColumnRenamed("entries", "_entries")
+            points = bucketed_left_join(points, part, key, index.buckets, F.col("_entries") * CellIndex.ENTRY_BYTES + CellIndex.CELL_BYTES)
+            points = points.drop("_entries")
+        else:
+            points = salted_left_join(points, part.drop("entries"), [key])
+        points = points.drop(key)
     return points
 
 
 def _held(indexes: Sequence[CellIndex]) -> set[str]:
-    return {name for index in indexes for name in index.levels}
+    return {name for index in indexes for name in index.layers}
 
 
 def _containing(layer: str, px: str, py: str) -> Column:

@@ -1,4 +1,7 @@
-"""Spatial contexts as versioned tables: indexes are published in one step and found by whoever asks for the newest."""
+"""Spatial contexts as versioned tables: indexes are published in one step and found by whoever asks for the newest.
+
+Published indexes are not stored in buckets; large ones are joined by a shuffle of both sides.
+"""
 
 from __future__ import annotations
 
@@ -19,8 +22,7 @@ def publish_context(spark: SparkSession, context: SpatialContext, path: str) ->
         kinds[kind] = []
         for number, index in enumerate(indexes):
             tables[f"{kind}_{number}"] = stage(index.leaves, path, f"{kind}_{number}")
-            levels = {name: list(found) for name, found in index.levels.items()}
-            kinds[kind].append({"grid": asdict(index.grid), "levels": levels, "n_cells": index.n_cells, "n_entries": index.n_entries, "box": index.box})
+            kinds[kind].append({"grid": asdict(index.grid), "layers": list(index.layers), "n_cells": index.n_cells, "n_entries": index.n_entries, "box": index.box})
     return publish(spark, path, base, tables, {"indexes": kinds}).number
 
 
@@ -38,8 +40,7 @@ class NewestContext:
             def index(kind: str, number: int, about: dict) -> CellIndex:
                 leaves: DataFrame = read(spark, self.path, f"{kind}_{number}", version)
                 box = tuple(about["box"]) if about["box"] else None
-                levels = {name: tuple(found) for name, found in about["levels"].items()}
-                return CellIndex(leaves, Grid(**about["grid"]), levels, about["n_cells"], about["n_entries"], box)
+                return CellIndex(leaves, Grid(**about["grid"]), tuple(about["layers"]), about["n_cells"], about["n_entries"], box)
 
             found = {kind: [index(kind, n, a) for n, a in enumerate(entries)] for kind, entries in version.info["indexes"].items()}
             self._number, self._context = version.number, SpatialContext(found["areas"], found["distances"])

@@ -63,6 +63,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{_scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def _table_prefix(spark: SparkSession) -> str:
+    """Start of the names of this application's bucketed tables."""
+    return "emberline_" + spark.sparkContext.applicationId.lower().replace("-", "_") + "_"
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder in whatever store ``path`` names."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -71,6 +76,8 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Delete all scratch tables of this application; indexes and tables that read them are unusable afterwards."""
+    for table in spark.catalog.listTables(pattern=f"{_table_prefix(spark)}*"):
+        spark.sql(f"DROP TABLE IF EXISTS {table.name}")
     delete_path(spark, _scratch_root(spark))
 
 
@@ -85,6 +92,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` once to the shared folder, in ``buckets`` by ``key``; joins on ``key`` then read it without a shuffle."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    name = _table_prefix(spark) + uuid.uuid4().hex
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """True if ``df`` has no more than ``rows`` rows. Counted task by task; a stored table is counted by the footers of its files."""
     return df.count() <= rows

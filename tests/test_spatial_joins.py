@@ -1,10 +1,13 @@
 import math
 import random
+import re
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
 from emberline.functions.projections import polyconic_xy
+from emberline.operators import joins
 from emberline.operators import spatial_index as SI
 from emberline.operators.spatial_joins import nearest, within
 from emberline.plans.enrichment import build_context, enrich_hotspots
@@ -74,6 +77,50 @@ def test_nearest_through_the_shuffled_path(spark, monkeypatch):
     assert probe(spark, segments, points) == brute_nearest(points, segments)
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_a_large_index_stays_in_its_buckets(spark, monkeypatch, hot):
+    segments, points = random_case(6, 300, 300)
+    points += [points[0]] * 600 + [(float("nan"), 9e6)] * 50  # two thirds in one leaf, and some in none
+    monkeypatch.setattr(SI, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(joins, "HOT_ROWS", 0 if hot else 10_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        indexes = SI.nearest_index(metric_frame(spark, segments), capacity=8)
+        assert [i.broadcastable for i in indexes] == [False] and indexes[0].buckets >= 8
+        out = nearest(point_frame(spark, points), indexes, "x", "y", {"a": ("id", "km")})
+        rows = out.orderBy("k").collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+    assert [(r["id"], r["km"]) for r in rows] == brute_nearest(points[:-50], segments) + [(-1, -1.0)] * 50
+    # only the points are shuffled; a hot leaf takes its place by broadcast
+    joined = plan.split("Subqueries")[0]
+    assert f"SelectedBucketsCount: {indexes[0].buckets}" in joined and joined.count("SortMergeJoin") == 1
+    assert len(re.findall(r"Exchange hashpartitioning\(_key", joined)) == 1
+
+
+def test_one_search_and_one_join_serve_all_layers(spark):
+    segments, points = random_case(9, 200, 100)
+    layers = {"a": segments, "b": [(i, *s[1:]) for i, s in enumerate(segments[150:])], "c": [(7, 5e6, 9e6, 5e6, 9e6)]}
+    frame = reduce(lambda one, two: one.unionByName(two), [metric_frame(spark, rows, name) for name, rows in layers.items()])
+    indexes = SI.nearest_index(frame, capacity=6)
+    out = nearest(point_frame(spark, points), indexes, "x", "y", {n: (f"id_{n}", f"km_{n}") for n in layers})
+    rows = out.orderBy("k").collect()
+    for name, own in layers.items():
+        assert [(r[f"id_{name}"], r[f"km_{name}"]) for r in rows] == brute_nearest(points, own)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(indexes) == 1 and plan.count("BroadcastHashJoin") in (1, 2) and "SortMergeJoin" not in plan  # 2: the final and the first plan
+
+
+def test_places_beyond_the_box_need_only_the_sides_they_see(spark):
+    rnd = random.Random(11)
+    segments = [(i, x := rnd.uniform(4e6, 6e6), y := rnd.uniform(8e6, 1e7), x, y) for i in range(400)]
+    index, = SI.nearest_index(metric_frame(spark, segments))
+    widths = {r["place"]: r["n"] for r in index.leaves.select("place", F.size("a").alias("n")).filter("place < 0").collect()}
+    assert sorted(widths) == [-9, -8, -7, -6, -4, -3, -2, -1]
+    assert all(max(widths[-2], widths[-4]) <= n for n in [widths[-1]]) and sum(widths[s] for s in (-2, -4, -6, -8)) < 2 * max(widths.values()) + 100
+
+
 def test_nearest_ties_and_copies(spark):
     # copies of one feature, and two features that share a vertex: the lowest id wins
     segments = [(9, 5e6, 9e6, 5e6, 9e6)] + [(i, 5.1e6, 9e6, 5.1e6, 9e6) for i in range(40, 10, -1)]
