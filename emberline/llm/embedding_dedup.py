@@ -38,6 +38,10 @@ GROWTH = 1.4
 #: of the sample: the rows of its leaves, each divided by the product on its way, add up to the sample.
 COPIES = 16
 MAX_DEPTH = 40
+#: Leaves that ended because the sample had no more rows are split further on all their vectors, by so many directions at most;
+REFITS = 32
+#: one that so many directions in a row do not part is left as it is.
+REFUSALS = 4
 #: A larger leaf is cut into parts of about this many vectors; each two parts meet in one tile.
 TILE = 1500
 #: Rows compared at a time with all others of a tile.
@@ -54,6 +58,8 @@ class Tree:
     high: np.ndarray
     level: np.ndarray
     margin: float
+    #: by leaf: the growths on its way multiplied if it ended for want of rows, else NaN
+    grown: np.ndarray
 
     def leaves(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of every leaf that each row reaches."""
@@ -80,7 +86,7 @@ def grow_tree(sample: np.ndarray, leaf: float, seed: int, margin: float) -> tupl
     directions = random.standard_normal((MAX_DEPTH, sample.shape[1]))
     directions = (directions / np.linalg.norm(directions, axis=1, keepdims=True)).astype(np.float32)
     projected = sample @ directions.T
-    thresholds, low, high, levels, leaves = [], [], [], [], 0
+    thresholds, low, high, levels, grown, leaves = [], [], [], [], [], 0
 
     def grow(rows: np.ndarray, level: int, copies: float) -> int:
         nonlocal leaves
@@ -99,10 +105,11 @@ def grow_tree(sample: np.ndarray, leaf: float, seed: int, margin: float) -> tupl
                 return node
             return grow(rows, level + 1, copies)
         leaves += 1
+        grown.append(copies if len(rows) <= leaf else np.nan)
         return -leaves
 
     grow(np.arange(len(sample)), 0, 1.0)
-    tree = Tree(directions, np.array(thresholds, np.float32), np.array(low, np.int64), np.array(high, np.int64), np.array(levels, np.int64), margin)
+    tree = Tree(directions, np.array(thresholds, np.float32), np.array(low, np.int64), np.array(high, np.int64), np.array(levels, np.int64), margin, np.array(grown))
     return tree, leaves
 
 
@@ -189,6 +196,81 @@ def _tile(min_cosine: float):
     return run
 
 
+def _projector(forests: dict, seed: int):
+    """Rows of a leaf each: whether it may be split further, and where its vector lies on the REFITS directions of its tree."""
+    schema = pa.schema([("id", pa.int64()), ("leaf", pa.int64()), ("path", pa.int64()), ("grown", pa.float64()), ("refused", pa.int32()),
+                        ("margin", pa.float64()), ("open", pa.bool_()), ("p", pa.list_(pa.float32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        directions: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            dims = pa.compute.divide(pa.compute.binary_length(batch.column(1)), 8)
+            for dim in pa.compute.unique(dims).to_pylist():
+                same = batch.filter(pa.compute.equal(dims, dim))
+                lists = same.column(2)
+                owner, leaf = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+                grown, margin = np.full(len(leaf), np.nan), 0.0
+                places = np.zeros((len(leaf), REFITS), np.float32)
+                if dim in forests:
+                    vectors = _unit(_matrix(same.column(1), np.float64)).astype(np.float32)
+                    for number, (tree, start) in enumerate(zip(*forests[dim], strict=True)):
+                        if (dim, number) not in directions:
+                            drawn = np.random.default_rng((seed, dim, number)).standard_normal((REFITS, dim))
+                            directions[dim, number] = (drawn / np.linalg.norm(drawn, axis=1, keepdims=True)).astype(np.float32)
+                        own = (leaf >= start) & (leaf < start + len(tree.grown))
+                        grown[own], margin = tree.grown[leaf[own] - start], tree.margin
+                        places[own] = (vectors @ directions[dim, number].T)[owner[own]]
+                opened = ~np.isnan(grown)
+                counts = np.where(opened, REFITS, 0)
+                p = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(places[opened].ravel()))
+                ids = same.column(0).to_numpy()[owner]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids), pa.array(leaf.astype(np.int64)), pa.array(np.ones(len(leaf), np.int64)), pa.array(grown),
+                     pa.array(np.zeros(len(leaf), np.int32)), pa.array(np.full(len(leaf), margin)), pa.array(opened), p], schema=schema)
+
+    return run
+
+
+def _refit(routed: DataFrame, forests: dict, seed: int) -> DataFrame:
+    """``routed`` with leaves of about LEAF vectors, however small a share of the vectors the sample was.
+
+    In each round every leaf of more than LEAF vectors that the sample was too small to split is cut at the median of its
+    own vectors along the next direction, by the rules that hold for the trees. Only aggregates are joined; a leaf that refuses REFUSALS
+    directions, such as a dense group, stays whole and is compared in tiles.
+    """
+    node = ["leaf", "path"]
+    members = routed.select("id", "v", "leaves").mapInArrow(
+        _projector(forests, seed), "id long, leaf long, path long, grown double, refused int, margin double, open boolean, p array<float>"
+    )
+    members = materialize(members, "vectors-projected")
+    settled = members.filter("NOT open").select("id", *node)
+    active = members.filter("open").drop("open")
+    for turn in range(REFITS):
+        here = F.get("p", F.lit(turn))
+        sizes = active.groupBy(*node).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(here, 0.5, 1000).alias("cut"), F.first("refused").alias("r"))
+        large = materialize(sizes.filter((F.col("n") > LEAF) & (F.col("r") < REFUSALS)).drop("r"), "leaves-large")
+        large = broadcast_if_small(large, 64)
+        settled = settled.unionByName(active.join(large, node, "left_anti").select("id", *node))
+        sided = active.join(large, node).withColumns({"low": here <= F.col("cut") + F.col("margin"), "high": here > F.col("cut") - F.col("margin")})
+        counted = sided.groupBy(*node).agg(F.first("n").alias("n"), F.count_if("low").alias("lows"), F.count_if("high").alias("highs"), F.first("grown").alias("g"))
+        counted = counted.withColumn("growth", (F.col("lows") + F.col("highs")) / F.col("n"))
+        parts = (F.greatest("lows", "highs") <= SHRINK * F.col("n")) & (F.col("growth") <= GROWTH) & (F.col("g") * F.col("growth") <= COPIES)
+        counted = broadcast_if_small(materialize(counted.select(*node, "growth", parts.alias("parts")), "leaves-parted"), 64)
+        sides = F.array_compact(F.array(F.when(F.col("low"), 0), F.when(F.col("high"), 1)))
+        moved = sided.join(counted, node).withColumn("side", F.explode(F.when(F.col("parts"), sides).otherwise(F.array(F.lit(-1)))))
+        active = materialize(moved.select(
+            "id", "leaf", F.when(F.col("parts"), F.col("path") * 2 + F.col("side")).otherwise(F.col("path")).alias("path"),
+            F.when(F.col("parts"), F.col("grown") * F.col("growth")).otherwise(F.col("grown")).alias("grown"),
+            F.when(F.col("parts"), 0).otherwise(F.col("refused") + 1).alias("refused"), "margin", "p",
+        ), "leaves-active")
+        if active.isEmpty():
+            break
+    settled = settled.unionByName(active.select("id", *node))
+    number = F.col("leaf") * (1 << (REFITS + 1)) + F.col("path")
+    leaves = settled.groupBy("id").agg(F.sort_array(F.collect_list(number)).alias("leaves"))  # at most COPIES for each tree
+    return materialize(routed.drop("leaves").join(leaves, "id"), "vectors-refitted")
+
+
 def embedding_groups(table: DataFrame, min_cosine: float = MIN_COSINE, trees: int = TREES, seed: int = 11) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` per row of ``table`` (``vec_id`` integer, ``embedding`` array of numbers).
 
@@ -198,6 +280,9 @@ def embedding_groups(table: DataFrame, min_cosine: float = MIN_COSINE, trees: in
     such as a dense group that no split parts, is cut into tiles that meet two by two: none is dropped. A pair that shares
     several leaves is counted in the first, so only sums and connecting edges are shuffled, no pairs.
 
+    A sample that is a small share of the vectors ends in leaves of too many of them; these are split further, round by round, on all
+    the vectors they hold, so leaves do not grow with the table.
+
     Only vectors of one length can link; each of the LENGTHS most common lengths has its own trees, if it has more vectors than
     a leaf, and any other length is a leaf by itself. A null, empty or zero vector, and one with a null or non-finite
     component, links with nothing; so does a row without ``vec_id``, whose component is null. Vectors of any other norm link. Repeated
@@ -209,13 +294,14 @@ def embedding_groups(table: DataFrame, min_cosine: float = MIN_COSINE, trees: in
     lengths = distinct.groupBy((F.octet_length("v") / 8).cast("int").alias("dim")).count().filter(F.col("count") > LEAF)
     lengths = lengths.orderBy(F.desc("count"), F.desc("dim")).limit(LENGTHS).collect()
     forests: dict[int, tuple[list[Tree], list[int]]] = {}
-    total = 0
+    total, short = 0, False
     for dim, n in ((r["dim"], r["count"]) for r in lengths):
         size = max(2 * SAMPLE_LEAF, min(SAMPLE // len(lengths), SAMPLE_BYTES // (8 * dim)))
         chosen = distinct.filter((F.octet_length("v") == 8 * dim) & (F.pmod(F.xxhash64("key"), F.lit(n)) < size)).orderBy("key").select("v").collect()
         sample = _unit(np.array([np.frombuffer(r["v"], np.float64) for r in chosen]).reshape(len(chosen), dim)).astype(np.float32)
         margin = SPILL * float(np.sqrt(2 - 2 * min_cosine) / np.sqrt(dim))
         forest, starts = [], []
+        short |= SAMPLE_LEAF * n > LEAF * len(sample)
         for t in range(trees):
             tree, leaves = grow_tree(sample, max(SAMPLE_LEAF, LEAF * len(sample) / n), seed + t, margin)
             forest.append(tree)
@@ -238,10 +324,12 @@ def embedding_groups(table: DataFrame, min_cosine: float = MIN_COSINE, trees: in
                     row, leaf = (np.concatenate(x) for x in zip(*found, strict=True))
                     order = np.lexsort((leaf, row))
                     offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=part.num_rows))])
-                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(leaf[order], pa.int32()))
+                    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(leaf[order], pa.int64()))
                     yield pa.RecordBatch.from_arrays([*part.columns, lists], names=["id", "copies", "v", "leaves"])
 
-    routed = materialize(distinct.select("id", "copies", "v").mapInArrow(route, "id long, copies long, v binary, leaves array<int>"), "vectors-routed")
+    routed = materialize(distinct.select("id", "copies", "v").mapInArrow(route, "id long, copies long, v binary, leaves array<long>"), "vectors-routed")
+    if short:
+        routed = _refit(routed, forests, seed)
     large = routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().filter(F.col("count") > TILE)
     large = broadcast_if_small(materialize(large.select("leaf", F.ceil(F.col("count") / TILE).cast("int").alias("parts")), "vectors-large"), 64)
     members = routed.select("*", F.explode("leaves").alias("leaf")).join(large, "leaf", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))

@@ -115,3 +115,29 @@ def test_leaves_shared_by_two_vectors_are_found_in_portions(monkeypatch):
     for size in (1, 7, 1000):
         monkeypatch.setattr(E, "SHARED", size)
         assert E._share_smaller(40, lists).tolist() == want
+
+
+def test_leaves_stay_small_where_the_sample_is_a_small_share(llm, monkeypatch):
+    rows = vectors(9, 3000) + [(5000 + i, v) for i, v in vectors(10, 300)] + [(9000 + i, [*v, 1.0]) for i, v in vectors(12, 200)]
+    center = np.random.default_rng(7).standard_normal(16)
+    rows += [(20_000 + i, (center + np.random.default_rng(i).standard_normal(16) * 0.01).tolist()) for i in range(300)]  # refuses to split
+    widths, refit = [], E._refit
+    def spied(routed, forests, seed):
+        def counts(df):
+            return {r["leaf"]: r["count"] for r in df.selectExpr("explode(leaves) AS leaf").groupBy("leaf").count().collect()}
+        out = refit(routed, forests, seed)
+        widths.extend([counts(routed), counts(out)])
+        assert out.count() == routed.count() and out.filter("size(leaves) < 6 OR size(array_distinct(leaves)) < size(leaves)").isEmpty()
+        return out
+    monkeypatch.setattr(E, "_refit", spied)
+    monkeypatch.setattr(E, "SAMPLE", 200)
+    monkeypatch.setattr(E, "REFITS", 9)  # dense leaves refuse four times, the others part five times at most
+    monkeypatch.setattr(E, "LEAF", 60)
+    monkeypatch.setattr(E, "TILE", 100)
+    got, want = run(llm, rows), brute(rows)
+    before, after = widths
+    assert sum(before.values()) <= sum(after.values()) <= E.COPIES * 6 * len(rows)
+    pairs = [sum(n * n for n in w.values() if n < 300) for w in widths]
+    assert max(n for n in after.values() if n < 300) < max(before.values()) / 2 and pairs[1] < sum(n * n for n in before.values()) / 2
+    assert all(got[i][0] <= want[i][0] for i in want) and sum(n for n, *_ in got.values()) >= 0.9 * sum(n for n, *_ in want.values())
+    assert all(got[20_000 + i][0] >= 299 for i in range(300))  # the dense group whole
