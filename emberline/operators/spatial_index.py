@@ -477,9 +477,16 @@ def _corner_parity(rows: DataFrame) -> DataFrame:
 
 
 def _touching(edges: DataFrame, left: Column, low: Column, size: float) -> DataFrame:
+    """Edges that touch their cell: the boxes overlap, and the corners are not all on one side of the line of the edge.
+
+    Boxes alone would put a long slanting edge into as many cells as its box has.
+    """
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    off = dx * (low + size / 2 - F.col("y1")) - dy * (left + size / 2 - F.col("x1"))
     return edges.filter(
         (F.least("x1", "x2") <= left + size + SLACK) & (F.greatest("x1", "x2") >= left - SLACK)
         & (F.least("y1", "y2") <= low + size + SLACK) & (F.greatest("y1", "y2") >= low - SLACK)
+        & (F.abs(off) <= (F.abs(dx) + F.abs(dy)) * (size / 2 + SLACK))
     )
 
 
@@ -513,6 +520,7 @@ def containment_index(
     touching = banded.withColumn("ix", F.explode(F.sequence(
         column_of(F.least("x1", "x2") - SLACK, grid.x0), column_of(F.greatest("x1", "x2") + SLACK, grid.x0)
     ))).drop("west")
+    touching = _touching(touching, F.col("ix") * size + grid.x0, F.col("iy") * size + grid.y0, size)
     # every corner left of the edge sees it on its ray
     seen = banded.withColumn("ix", F.explode(F.sequence(
         column_of(F.col("west") - SLACK, grid.x0), column_of(F.greatest("x1", "x2") + SLACK, grid.x0)

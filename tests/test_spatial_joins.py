@@ -244,3 +244,32 @@ def test_enrichment_of_absent_and_nan_positions(spark):
     df = spark.sql("SELECT 0D lon, 0D lat UNION ALL SELECT -48D, -1D")
     (x0, y0), (x1, y1) = [tuple(r) for r in df.select(*polyconic_xy(F.col("lon"), F.col("lat"))).collect()]
     assert far["distancia_hospital_km"] == pytest.approx(math.hypot(x0 - x1, y0 - y1) / 1000, abs=0.006)
+
+
+def test_a_long_slanting_edge_is_kept_only_where_it_passes(spark):
+    # 32 x 32 cells in the box of each edge; a diagonal passes through its cells and touches the corners of those beside it
+    size, cells = 0.25, spark.range(32).withColumnRenamed("id", "ix").crossJoin(spark.range(32).withColumnRenamed("id", "iy"))
+    edges = spark.createDataFrame([(0.0, 0.0, 8.0, 8.0), (0.0, 8.0, 8.0, 0.0), (8.0, 7.0, 0.0, 1.0)], "x1 double, y1 double, x2 double, y2 double")
+    kept = SI._touching(edges.crossJoin(cells), F.col("ix") * size, F.col("iy") * size, size)
+    found = {(r["x1"], r["y1"]): r["n"] for r in kept.groupBy("x1", "y1").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert found[(0.0, 0.0)] == found[(0.0, 8.0)] == 32 + 2 * 31
+    # 32 columns, and 24 rows crossed on the way; every second or so of these at a corner of cells
+    assert 32 + 24 - 1 <= found[(8.0, 7.0)] <= 32 + 24 - 1 + 2 * 9
+
+
+def test_polygons_that_overlap_on_long_edges_have_a_small_index(spark):
+    rnd = random.Random(11)
+    corners = [(rnd.uniform(-60, -58), rnd.uniform(-20, -18)) for _ in range(40)]
+    shapes = [(i, f"POLYGON (({x} {y}, {x + 6} {y + 0.7}, {x + 4.1} {y + 6}, {x} {y}))") for i, (x, y) in enumerate(corners)]
+    lands = spark.createDataFrame(shapes, "codigo_ti bigint, geometria_wkt string")
+    (index,) = build_context({"terras": lands}).areas
+    assert index.n_entries < 20_000
+    points = [(rnd.uniform(-61, -51), rnd.uniform(-21, -11)) for _ in range(400)]
+
+    def inside(px, py, x, y):
+        ring = [(x, y), (x + 6, y + 0.7), (x + 4.1, y + 6), (x, y)]
+        meets = [(b > py) != (d > py) and px < (c - a) * (py - b) / (d - b) + a for (a, b), (c, d) in zip(ring, ring[1:])]
+        return sum(meets) % 2 == 1
+
+    rows = within(point_frame(spark, points), [index], "x", "y", {"terras": "id"}).orderBy("k").collect()
+    assert [r["id"] for r in rows] == [min((i for i, c in enumerate(corners) if inside(*p, *c)), default=-1) for p in points]
