@@ -2,6 +2,7 @@ import math
 import random
 import re
 from functools import reduce
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -273,3 +274,34 @@ def test_polygons_that_overlap_on_long_edges_have_a_small_index(spark):
 
     rows = within(point_frame(spark, points), [index], "x", "y", {"terras": "id"}).orderBy("k").collect()
     assert [r["id"] for r in rows] == [min((i for i, c in enumerate(corners) if inside(*p, *c)), default=-1) for p in points]
+
+
+def test_layers_of_other_density_do_not_copy_their_arrays(spark, monkeypatch):
+    # few long lines beside many points: cut at the borders of the points' leaves, the lines' arrays would be copied for each
+    monkeypatch.setattr(SI, "SHARED_BYTES", 0)
+    rnd = random.Random(5)
+    place = lambda: (rnd.uniform(5e6, 5.2e6), rnd.uniform(9e6, 9.2e6))
+    points = [(i, *p, *p) for i, p in enumerate(place() for _ in range(1500))]
+    lines = [(i, x, y, x + 3e4, y + 2e4) for i, (x, y) in enumerate(place() for _ in range(40))]
+    before = set(_scratch(spark))
+    indexes = SI.nearest_index(metric_frame(spark, points, "p").unionByName(metric_frame(spark, lines, "l")))
+    assert sorted(i.layers for i in indexes) == [("l",), ("p",)]
+    assert sum(i.n_entries for i in indexes) < 40 * len(points)
+    # only the indexes stay in the shared folder
+    assert len(set(_scratch(spark)) - before) == len(indexes)
+    wanted = [place() for _ in range(60)]
+    rows = nearest(point_frame(spark, wanted), indexes, "x", "y", {"p": ("a", "a_km"), "l": ("b", "b_km")}).orderBy("k").collect()
+    assert [(r["a"], r["a_km"]) for r in rows] == brute_nearest(wanted, points)
+    assert [(r["b"], r["b_km"]) for r in rows] == brute_nearest(wanted, lines)
+
+
+def _scratch(spark):
+    root = Path(spark.conf.get("spark.checkpoint.dir")) / "emberline" / spark.sparkContext.applicationId
+    return [p.name for p in root.glob("*")]
+
+
+def test_join_keys_do_not_carry_the_search(spark):
+    # Catalyst would follow the key down to the table and write out the whole search
+    indexes = SI.nearest_index(metric_frame(spark, [(1, 5.1e6, 9.1e6, 5.2e6, 9.2e6)]))
+    plan = indexes[0].locate(point_frame(spark, [(5e6, 9e6)]), "x", "y", "place")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Generate explode\(array\(.*\[place#", plan)
